@@ -42,7 +42,7 @@ ORACLES: dict[str, str] = {
         c AS (SELECT *, 2.0::DOUBLE * source_size AS cap, sum(source_size) OVER () AS total, sum(w) OVER () AS all_w,
                      coalesce(sum(source_size) OVER below, 0) AS full_size, coalesce(sum(w) OVER below, 0) AS full_w
               FROM s WINDOW below AS (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-        l AS (SELECT min((1.5::DOUBLE * total - 2.0::DOUBLE * full_size) / (all_w - full_w)) AS level FROM c
+        l AS (SELECT arg_min((1.5::DOUBLE * total - 2.0::DOUBLE * full_size) / (all_w - full_w), source_size / w) AS level FROM c
               WHERE w * ((1.5::DOUBLE * total - 2.0::DOUBLE * full_size) / (all_w - full_w)) < cap),
         t AS (SELECT source, source_size, least(cap, w * level) AS target FROM c, l),
         r AS (SELECT d.doc_id, size, source_size, target,
