@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, mixing, pii, secrets, topk
+from . import exact_dedup, jaccard, langid, mixing, pii, secrets, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.similar(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", "n_links", "n_set_links")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_top_k": op5_top_k,
     "op6_secrets": op6_secrets,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op10_source_mix": op10_source_mix,
 }
 
@@ -63,6 +69,25 @@ ORACLES: dict[str, str] = {
         FROM (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
               FROM documents)
         WINDOW same AS (PARTITION BY text_sha256)""",
+    "op8_ngram_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        g AS MATERIALIZED (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 5 THEN [list_aggregate(ws, 'string_agg', ' ')]
+                ELSE list_transform(range(1, len(ws) - 3), lambda i: list_aggregate(ws[i:i + 4], 'string_agg', ' ')) END) AS gram
+            FROM w WHERE len(ws) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+        s AS (SELECT doc_id, md5(string_agg(gram, chr(0) ORDER BY gram)) AS set_key FROM g GROUP BY 1),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS MATERIALIZED (
+            SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)
+            UNION ALL SELECT x.doc_id, y.doc_id FROM w x JOIN w y ON len(x.ws) = 0 AND len(y.ws) = 0 AND x.doc_id <> y.doc_id),
+        r(doc_id, other) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other),
+        k AS (SELECT doc_id, min(other) AS class_id, count(*) AS class_size FROM r GROUP BY 1),
+        d AS (SELECT a, count(*) AS n_links, count(DISTINCT y.set_key) FILTER (x.set_key <> y.set_key) AS n_set_links
+              FROM l LEFT JOIN s x ON x.doc_id = a LEFT JOIN s y ON y.doc_id = b GROUP BY 1)
+        SELECT k.doc_id, class_id, class_size, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_set_links, 0)::BIGINT AS n_set_links
+        FROM k LEFT JOIN d ON d.a = k.doc_id""",
     "op10_source_mix": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
                    FROM documents),
