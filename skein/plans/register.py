@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +25,11 @@ def register(spark: SparkSession) -> None:
     """
 
     def scalar(name: str, kind: str, fn: Callable) -> None:
-        def one(series):
-            return series.map(lambda t: None if t is None else fn(t))
+        @F.pandas_udf(kind)
+        def one(texts: pd.Series) -> pd.Series:
+            return pd.Series([None if t is None else fn(t) for t in texts], dtype=object)
 
-        wrapped = F.pandas_udf(_series(one), kind)
-        spark.udf.register(name, wrapped)
+        spark.udf.register(name, one)
 
     scalar("is_url", "boolean", rules.is_url)
     scalar("is_path", "boolean", rules.is_path)
@@ -78,11 +79,3 @@ def register(spark: SparkSession) -> None:
     for name, table in tables.items():
         spark.udtf.register(name, table)
 
-
-def _series(fn: Callable) -> Callable:
-    import pandas as pd
-
-    def run(series: pd.Series) -> pd.Series:
-        return fn(series)
-
-    return run

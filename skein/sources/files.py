@@ -17,7 +17,7 @@ def read_sources(spark: SparkSession, path: str | list[str], pattern: str | None
         reader = reader.option("pathGlobFilter", pattern)
     files = reader.load(path)
     fine = F.is_valid_utf8(F.col("content").cast("string"))
-    text = F.when(fine, F.decode("content", F.lit("UTF-8")))
+    text = F.when(fine, F.decode("content", "UTF-8"))
     rows = files.select(F.xxhash64("path").alias("source_id"), "path", text.alias("content"))
     return rows.withColumn("valid", F.coalesce(F.col("content").rlike(r"\S"), F.lit(False)))
 
