@@ -79,6 +79,11 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
+def row_of(df: DataFrame) -> Column:
+    """All columns as one, whatever their names; ``select("row.*")`` gives them back."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
 def ranked(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
     """Materialise ``df`` with ``rank``: the row's place, from 0, within its group.
 

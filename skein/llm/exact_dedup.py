@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise, parts, text_of
+from .common import SPACE, materialise, parts, row_of, text_of
 
 #: Levels' fan-in as a power of two: four binomial rounds are merged in one shuffle.
 FAN_BITS = 4
@@ -100,7 +100,7 @@ def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     kept = found.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
     again = found.filter("not kept and doc_id <=> keep_id").limit(1).count()
     sha = F.sha2(F.regexp_replace(text_of(docs, text), SPACE, " "), 256)
-    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[doc_id].alias("_d"), sha.alias("_s"))
+    marked = docs.select(row_of(docs).alias("_row"), docs[doc_id].alias("_d"), sha.alias("_s"))
     on = marked["_d"].eqNullSafe(kept["_id"]) & (marked["_s"] == kept["_sha"])
     one = marked.join(kept, on, "left_semi")
     if again:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, parts, text_of
+from .common import materialise, parts, row_of, text_of
 
 #: Words of an n-gram, least similarity, and the share of pairs at that similarity to be met in some band.
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99999
@@ -333,7 +333,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **opti
     )
     again = stays.groupBy("_id", "_key").count().filter("count > 1").limit(1).count()
     marked = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[doc_id].alias("_d"), F.sha2(text_of(docs, text), 256).alias("_k")
+        row_of(docs).alias("_row"), docs[doc_id].alias("_d"), F.sha2(text_of(docs, text), 256).alias("_k")
     )
     one = marked.join(stays, marked["_d"].eqNullSafe(stays["_id"]) & (marked["_k"] == stays["_key"]), "left_semi")
     if again:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import row_of, text_of
 
 #: Letters of reference text a language gets at most, and languages at most: the
 #: bounds of the sample that is fitted.  The automata of one language take some
@@ -263,7 +263,7 @@ def keep_identified(
     of no learned language are: letters at random.  Labels are not looked at.
     """
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), docs[lang].alias("lang"))
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text].alias("text"))
+    whole = docs.select(row_of(docs).alias("row"), docs[text].alias("text"))
     found = whole.select("row", identify(whole, fit(rows)).alias("found"))
     plain = (F.col("found.n_letters") < least_letters) | (F.col("found.n_phrases") * least_phrase <= F.col("found.n_letters"))
     return found.filter((F.col("found.lang_pred") != UNDETERMINED) & plain).select("row.*")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ranked, text_of
+from .common import materialise, ranked, row_of, text_of
 
 #: Weights in code-point order of the sources, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -121,7 +121,7 @@ def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options
     keys = ["_id", "_hash"]
     repeats = made.groupBy(*keys).count().filter("count > 1").limit(1).count()
     marked = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
+        row_of(docs).alias("_row"),
         docs[doc_id].alias("_d"),
         F.xxhash64(text_of(docs, text)).alias("_h"),
     )
