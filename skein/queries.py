@@ -15,6 +15,7 @@ from .functions import columns as C
 from .functions import fixed
 from .operators import html, modes
 from .operators.urls import extract_urls, url_entries
+from .sources.files import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,6 +26,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(_table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
 def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         QUERIES[name] = fn
@@ -72,7 +77,7 @@ def _sql(template: str, text: str) -> str:
 )
 def href_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path-like link targets of each page."""
-    links = html.html_attributes(_table(spark, sf_dir, "pages").select("page_id", "html")).filter("tag = 'a' and name = 'href'")
+    links = html.html_attributes(_pages(spark, sf_dir)).filter("tag = 'a' and name = 'href'")
     return links.select("page_id", F.trim("value").alias("path")).filter(C.is_path(F.col("path"))).distinct()
 
 
@@ -88,12 +93,12 @@ def page_url_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("inline_scripts", "SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1)) AS code FROM pages")
 def inline_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.inline_scripts(_table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "code")
+    return html.inline_scripts(_pages(spark, sf_dir)).select("page_id", "code")
 
 
 @_query("html_comments", "SELECT page_id, unnest(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1)) AS comment FROM pages")
 def html_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.html_comments(_table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "comment")
+    return html.html_comments(_pages(spark, sf_dir)).select("page_id", "comment")
 
 
 @_query(
@@ -113,7 +118,7 @@ def html_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("script_strings", "SELECT page_id, '</p>' AS text FROM pages WHERE contains(html, '<script>var t=\"</p>\"')")
 def script_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = html.inline_scripts(_table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.col("code").alias("content"))
+    code = html.inline_scripts(_pages(spark, sf_dir)).select("page_id", F.col("code").alias("content"))
     return modes.js_strings(code).select("page_id", "text")
 
 
@@ -126,7 +131,7 @@ def script_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything a page gives: attributes verbatim, comments, scripts."""
-    return extract_urls(_table(spark, sf_dir, "pages").select("page_id", "html"), "html")
+    return extract_urls(_pages(spark, sf_dir), "html")
 
 
 # -- texts ---------------------------------------------------------------------------
@@ -230,7 +235,7 @@ def _generated(name: str, table: str, key: str, parts: tuple[str, ...], urls: li
     @_query(name, union)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = _table(spark, sf_dir, table)
-        return extract_urls(rows.select(key, _program(*parts).alias("content")), "content", **options)
+        return extract_urls(spread(rows.select(key, _program(*parts).alias("content"))), "content", **options)
 
 
 _generated(
@@ -401,7 +406,7 @@ def inspect_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def string_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = _program('f("', "<p_name>", "\", '", "<p_brand>", "', '", "<p_type>", "');")
-    return modes.js_strings(_table(spark, sf_dir, "part").select("p_partkey", code.alias("content")), least=6, most=9)
+    return modes.js_strings(spread(_table(spark, sf_dir, "part").select("p_partkey", code.alias("content"))), least=6, most=9)
 
 
 @_query(

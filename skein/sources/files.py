@@ -28,6 +28,11 @@ def write_lines(results: DataFrame, path: str, value: str, key: str = "source_id
     placed.select(F.col(value).alias("value")).write.text(path)
 
 
-def spread(sources: DataFrame, partitions: int, text: str = "content") -> DataFrame:
-    """Deal sources over partitions so that large ones don't gather: by a hash of the text, not by file."""
-    return sources.repartition(partitions, F.xxhash64(text))
+def spread(sources: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal rows evenly over ``partitions`` (as many as the cluster has cores) if they come in fewer.
+
+    Parsing costs far more than moving a text; a table that already comes in
+    enough partitions is left alone.
+    """
+    wanted = partitions or sources.sparkSession.sparkContext.defaultParallelism
+    return sources.repartition(wanted) if sources.rdd.getNumPartitions() < wanted else sources
