@@ -135,7 +135,7 @@ class CrossParser:
         return out
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _parser(references: tuple[tuple[str, str], ...]) -> CrossParser:
     return CrossParser(dict(references))
 
@@ -202,9 +202,9 @@ def identify(docs: DataFrame, references: dict[str, str], text: str = "text") ->
         parser = _parser(sent.value)
         for series in batches:
             texts, pieces, start = series.tolist(), [], 0
-            while start < len(texts):  # in portions of about 4 million characters
+            while start < len(texts):  # in portions of about 2 million characters
                 end, size = start, 0
-                while end < len(texts) and (end == start or size + len(texts[end]) <= 4_000_000):
+                while end < len(texts) and (end == start or size + len(texts[end]) <= 2_000_000):
                     size += len(texts[end])
                     end += 1
                 pieces.append(_decide(parser, texts[start:end]))
