@@ -38,7 +38,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Hashed n-gram sets.  Word hashes are kept for reuse, up to ``keep`` words."""
 
-    def __init__(self, words: int = WORDS, keep: int = 400_000):
+    def __init__(self, words: int = WORDS, keep: int = 150_000):
         self.words, self.keep, self.known = words, keep, {}
 
     def _word(self, word: str) -> int:
