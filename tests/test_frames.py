@@ -76,3 +76,11 @@ def test_cli(spark, tmp_path, capsys):
             cli.main(bad)
         assert e.value.code == 1
     assert json.dumps(cli.arguments(["urls", str(path), "--context", "a=1"]).context) == '{"a": "1"}'
+
+
+def test_spread_only_where_partitions_are_few(spark):
+    from skein.sources.files import spread
+
+    df = spark.range(100).repartition(2)
+    assert spread(df, 8).rdd.getNumPartitions() == 8
+    assert spread(df, 2).rdd.getNumPartitions() == 2
