@@ -44,15 +44,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete tables written by :func:`materialise`, but for the last ``keep``.
+def written(spark: SparkSession) -> int:
+    """How many tables of this session :func:`materialise` has left so far, for :func:`release`."""
+    return sum(x[0] is spark for x in _written)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete tables written by :func:`materialise` after the first ``since``, but for the last ``keep``.
 
     For callers that have consumed every result that reads them.
     """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     mine = [x for x in _written if x[0] is spark]
-    for item in mine[: len(mine) - keep]:
+    for item in mine[since : len(mine) - keep]:
         path = jvm.org.apache.hadoop.fs.Path(item[1])
         path.getFileSystem(conf).delete(path, True)
         _written.remove(item)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, parts, row_of, text_of
+from .common import materialise, parts, release, row_of, text_of, written
 
 #: Words of an n-gram, least similarity, and the share of pairs at that similarity to be met in some band.
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99999
@@ -119,6 +119,8 @@ def components(edges: DataFrame) -> DataFrame:
     Nodes of any degree are fine: a node's least neighbour is aggregated before
     the shuffle, and the join is one that Spark splits.
     """
+    spark = edges.sparkSession
+    first = written(spark)
     edges = materialise(edges.filter("a <> b").distinct(), "edges")
     before = None
     while True:
@@ -131,6 +133,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = down.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
         small = small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).filter("a <> b").distinct()
         edges = materialise(small, "edges")
+        release(spark, first, keep=1)  # the edges before these
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break
