@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, ranked, text_of
@@ -17,9 +17,13 @@ def _level(line: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_extract(line, QUOTE, 0), "[^>]", ""))
 
 
+def _plain(passage: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(passage), r"\s+", " "))
+
+
 def _normal(passage: Column) -> Column:
     """The hash of a passage in lower case with single spaces; null if nothing is left of it."""
-    plain = F.trim(F.regexp_replace(F.lower(passage), r"\s+", " "))
+    plain = _plain(passage)
     return F.when(F.length(plain) > 0, F.md5(plain))
 
 
@@ -51,33 +55,83 @@ def passages(messages: DataFrame) -> DataFrame:
 
 
 def _pieces(found: DataFrame) -> DataFrame:
-    """A passage whole, its paragraphs and its lines, by hash: ``size`` tells the larger."""
+    """A passage whole, its paragraphs and its lines, by hash."""
     parts = F.array_distinct(
         F.concat(F.array("body"), F.split("body", r"\n[ \t]*\n"), F.split("body", "\n"))
     )
     out = found.withColumn("piece", F.explode(parts))
-    return out.withColumn("hash", _normal(F.col("piece"))).withColumn("size", F.length("piece")).filter("hash is not null")
+    return out.withColumn("hash", _normal(F.col("piece"))).filter("hash is not null")
+
+
+def _quoted(found: DataFrame) -> DataFrame:
+    """Pieces of quoted passages with the lines they stand on: ``uid, conv_id, turn, place, level, hash, cells``.
+
+    ``cells`` has the number and the length of each line with words; a passage
+    has at most three pieces for a line.
+    """
+    cells = F.transform(F.split("body", "\n"), lambda x, i: F.struct(i.alias("line"), F.length(_plain(x)).alias("size"), x.alias("words")))
+    # blank lines end a paragraph: each line's paragraph is the number of blank lines before it
+    lines = found.select("uid", "conv_id", "turn", "place", "level", F.explode(cells).alias("cell")).select("*", "cell.*").drop("cell")
+    before = Window.partitionBy("uid", "place").orderBy("line")
+    lines = lines.withColumn("par", F.count_if(F.col("words").rlike(r"^[ \t]*$")).over(before))
+    key = ["uid", "conv_id", "turn", "place", "level"]
+    cell = F.struct("line", "size", "words")
+
+    def joined(grouped) -> DataFrame:
+        whole = grouped.agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+        text = F.array_join(F.transform("cells", lambda c: c["words"]), "\n")
+        worded = F.transform(F.filter("cells", lambda c: c["size"] > 0), lambda c: F.struct(c["line"].alias("line"), c["size"].alias("size")))
+        return whole.select(*key, _normal(text).alias("hash"), worded.alias("cells"))
+
+    out = joined(lines.groupBy(*key)).unionByName(joined(lines.groupBy(*key, "par")))
+    one = F.array(F.struct("line", "size"))
+    return out.unionByName(lines.select(*key, _normal(F.col("words")).alias("hash"), one.alias("cells"))).filter("hash is not null")
 
 
-def link_quotes(messages: DataFrame) -> DataFrame:
-    """``uid, place, level, parent`` of quoted passages whose words an earlier message wrote.
+def known_lines(messages: DataFrame) -> DataFrame:
+    """``uid, place, level, line, size, origin`` of quoted lines that an earlier message wrote.
 
     Own passages are indexed whole, by paragraph and by line, each hash once per
     conversation with the first message that wrote it (aggregated before the
     shuffle), so that a line that everyone writes and quotes meets one row.  Of
-    what a quoted passage shares with originals, the longest piece decides.
+    the pieces around a line that are found there, the longest tells its origin.
     """
     found = passages(messages)
     own = _pieces(found.filter("level = 0")).groupBy("conv_id", "hash").agg(
         F.min(F.struct(F.col("turn").isNull().alias("unknown"), "turn", "uid")).alias("origin")
     )
     own = own.select(F.col("conv_id").alias("_conv"), F.col("hash").alias("_hash"), "origin")
-    asked = _pieces(found.filter("level > 0"))
+    asked = _quoted(found.filter("level > 0"))
     met = asked.join(own, asked["conv_id"].eqNullSafe(own["_conv"]) & (asked["hash"] == own["_hash"]))
     here = F.struct(F.col("turn").isNull().alias("unknown"), F.col("turn"), F.col("uid"))
     met = met.filter(F.col("origin") < here)
-    best = F.max_by("origin", F.struct("size", "hash"))
-    return met.groupBy("uid", "place", "level").agg(best.alias("origin")).select("uid", "place", "level", F.col("origin.uid").alias("parent"))
+    met = met.select("uid", "place", "level", "origin", F.size("cells").alias("lines"), F.explode("cells").alias("cell"))
+    return met.groupBy("uid", "place", "level", F.col("cell.line").alias("line"), F.col("cell.size").alias("size")).agg(
+        F.max_by("origin", F.struct("lines", "origin")).alias("origin")
+    )
+
+
+def link_quotes(messages: DataFrame, known: DataFrame) -> DataFrame:
+    """``uid, place, level, parent, whole`` of quoted passages with a known line.
+
+    The message that wrote the most of a passage's known lines is ``parent``, the
+    first of equal ones; null where less than half of the passage is known, as a
+    greeting or a signature tells nothing of who is answered.  ``whole`` says
+    that every line with words is known.
+    """
+    shares = known.groupBy("uid", "place", "level", "origin").agg(F.sum("size").alias("size"), F.count("*").alias("lines"))
+    shares = shares.groupBy("uid", "place", "level").agg(
+        F.sum("size").alias("known_size"), F.sum("lines").alias("known_lines"),
+        F.min_by("origin", F.struct(-F.col("size"), "origin")).alias("origin"),
+    )
+    sizes = F.filter(F.transform(F.split("body", "\n"), lambda x: F.length(_plain(x))), lambda n: n > 0)
+    sizes = passages(messages).filter("level > 0").select("uid", "place", sizes.alias("sizes"))
+    total = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n)
+    return shares.join(sizes.select("uid", "place", total.alias("total"), F.size("sizes").alias("lines")), ["uid", "place"]).select(
+        "uid", "place", "level",
+        F.when(2 * F.col("known_size") >= F.col("total"), F.col("origin.uid")).alias("parent"),
+        (F.col("known_lines") >= F.col("lines")).alias("whole"),
+    )
 
 
 def _roots(parents: DataFrame) -> DataFrame:
@@ -97,10 +151,12 @@ def thread(
 ) -> DataFrame:
     """Messages in reply order, without quotes: ``conv_id, position, turn, role, text, reply_to, n_quotes, uid``.
 
-    Quoted passages that an earlier message of the conversation wrote are taken
-    out and make the message a reply to that message (of several, the one quoted
-    at the lowest level, then first); other quotations stay as they stand, as
-    nothing else holds their words.  A conversation runs by threads: a message
+    Quoted lines that an earlier message of the conversation wrote, by themselves
+    or within their paragraph or passage, are taken out; the others stay with
+    their markers, as nothing else holds their words.  A passage that is known
+    by half or more makes the message a reply to the message that wrote the most
+    of it (of several passages, the one at the lowest level, then the first);
+    ``n_quotes`` counts such passages.  A conversation runs by threads: a message
     without a reply link starts one, replies join their root's, and within a
     thread messages go by turn, so that a reply follows what it answers.
 
@@ -119,13 +175,17 @@ def thread(
     quoting = base.filter(F.col("text").rlike(r"(?m)^[ \t]{0,3}>"))
     keys = base.select("uid", "conv_id", "turn", "role", F.xxhash64("text").alias("draw"))
     if quoting.limit(1).count():
-        links = materialise(link_quotes(base), "chat-links")
-        parents = links.groupBy("uid").agg(F.min_by("parent", F.struct("level", "place")).alias("parent"), F.count("*").alias("n_quotes"))
+        known = materialise(known_lines(base), "chat-known")
+        links = materialise(link_quotes(quoting, known), "chat-links")
+        linked = links.filter("parent is not null")
+        parents = linked.groupBy("uid").agg(F.min_by("parent", F.struct("level", "place")).alias("parent"), F.count("*").alias("n_quotes"))
         roots = _roots(parents)
-        left = passages(quoting).join(links.select("uid", "place", "parent"), ["uid", "place"], "left").filter("parent is null")
+        left = passages(quoting).join(links.select("uid").distinct(), "uid", "left_semi")
+        left = left.join(links.select("uid", "place", "whole"), ["uid", "place"], "left").filter("whole is null or not whole")
+        left = left.select("uid", "place", "level", F.posexplode(F.split("body", "\n")).alias("line", "shown"))
+        left = left.join(known.select("uid", "place", "line"), ["uid", "place", "line"], "left_anti")
         marker = F.when(F.col("level") > 0, F.concat(F.repeat(F.lit(">"), F.col("level")), F.lit(" "))).otherwise(F.lit(""))
-        shown = F.array_join(F.transform(F.split("body", "\n"), lambda x: F.concat(marker, x)), "\n")
-        left = left.select("uid", F.struct("place", shown.alias("shown")).alias("part")).groupBy("uid")
+        left = left.select("uid", F.struct("place", "line", F.concat(marker, "shown").alias("shown")).alias("part")).groupBy("uid")
         left = left.agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["shown"]), "\n").alias("kept"))
         left = links.select("uid").distinct().join(left, "uid", "left").select("uid", F.trim(F.coalesce("kept", F.lit(""))).alias("kept"))
         tops = roots.join(base.select(F.col("uid").alias("root"), F.col("turn").alias("root_turn")), "root")

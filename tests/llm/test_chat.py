@@ -36,6 +36,20 @@ def test_format_and_chunks(spark):
     assert chat.format_chats(table(spark, rows).limit(0)).count() == 0
 
 
+def test_only_known_lines_of_a_quotation_go(spark):
+    strange = [f"a line {k} that nobody here has written" for k in range(9)]
+    rows = [
+        (1, 0, "user", "Hi,\nfirst words of one"), (1, 1, "assistant", "second words, longer, of another\nand more"),
+        (1, 2, "user", "> Hi,\n" + "\n".join("> " + x for x in strange) + "\nmy answer"),
+        (1, 3, "user", "> first words of one\n> second words, longer, of another\n> unheard of\nboth"),
+        (1, 4, "user", "> second words, longer,\n> of another and more\n>\n> new\nwrapped"),
+    ]
+    got = {r.turn: (r.text, r.reply_to, r.n_quotes) for r in chat.thread(table(spark, rows)).collect()}
+    assert got[2] == ("\n".join("> " + x for x in strange) + "\nmy answer", None, 0)
+    assert got[3] == ("> unheard of\nboth", 1, 1)
+    assert got[4] == ("> \n> new\nwrapped", 1, 1)
+
+
 def brute_parent(rows, i):
     """First message of the conversation that wrote the words of the first quoted line at the lowest level."""
     conv, turn, _, text = rows[i]
