@@ -25,9 +25,8 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-#: Candidates: runs of the characters of keys, of this length, with a letter and a digit.
+#: Candidates: runs of the characters of keys, of this length or longer, with a letter and a digit.
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{12,}")
-LONGEST = 512
 
 #: What the network sees: the candidate's first characters between stretches of context.
 LEFT, BODY, RIGHT = 24, 40, 8
@@ -47,20 +46,28 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Key-like runs outside every base span."""
-    taken = sorted((s, e) for _, s, e in base)
+    """Key-like runs outside every base span; of a run that base spans lie in, the parts around them."""
+    taken: list[tuple[int, int]] = []
+    for s, e in sorted((s, e) for _, s, e in base):
+        if taken and s <= taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
+        else:
+            taken.append((s, e))
     out, at = [], 0
     for m in _CANDIDATE.finditer(text):
         start, end = m.span()
-        run = m[0].strip(".-=")
-        if not 12 <= len(run) <= LONGEST or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
-            continue
-        start += m[0].index(run)
-        end = start + len(run)
         while at < len(taken) and taken[at][1] <= start:
             at += 1
-        if not any(s < end and start < e for s, e in taken[at : at + 8]):
-            out.append((start, end))
+        parts, i = [], at
+        while i < len(taken) and taken[i][0] < end:
+            parts.append((start, taken[i][0]))
+            start = taken[i][1]
+            i += 1
+        for s, e in [*parts, (start, end)]:
+            run = text[s:e].strip(".-=") if s < e else ""
+            if len(run) >= 12 and any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
+                s += text[s:e].index(run)
+                out.append((s, s + len(run)))
     return out
 
 

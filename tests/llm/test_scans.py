@@ -100,6 +100,17 @@ def test_secret_rows(spark):
     assert secrets.scan_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_candidates_of_any_length_and_beside_base_spans(spark):
+    key, hexed = "zK8vQ2mXw7LpR4tYb9NcJ6hD3sGfA1eU5oVi", "0123456789abcdef"
+    token = key * 20
+    text = f"Authorization: Bearer {token} and {key}/{hexed}/{key} end"
+    assert [text[s:e].strip("/") for s, e in secrets.candidates(text, secrets.base_spans(text))] == [token, key, key]
+    many = "/".join([hexed] * 20 + [key])
+    assert secrets.candidates(many, secrets.base_spans(many)) == [(len(many) - len(key) - 1, len(many))]
+    got = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.n_model == 3 and got.n_hex == 1 and got.spans.startswith("model:22:742,")
+
+
 def test_clean_documents_have_no_model_findings(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert secrets.scan_secrets(df).agg({"n_model": "sum"}).first()[0] == 0
