@@ -28,9 +28,14 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 #: Candidates: runs of the characters of keys, of this length or longer, with a letter and a digit.
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{12,}")
 
-#: What the network sees: the candidate's first characters between stretches of context.
+#: What the network sees: characters of the candidate between stretches of context.
 LEFT, BODY, RIGHT = 24, 40, 8
 WIDTH = LEFT + BODY + RIGHT
+#: Windows over longer candidates start this far apart, and at such parts of a path or value.
+STEP = BODY // 2
+_PART = re.compile(r"(?<=[/=.])[^/=.]{12,}")
+#: Windows scored at a time.
+PORTION = 8192
 _ALPHABET = string.ascii_letters + string.digits + " \n\"'`:=+/_.-@#$%&*()[]{}<>,;!?|\\~^"
 _CODES = np.full(0x110000, len(_ALPHABET) + 1, dtype=np.uint8)
 _CODES[[ord(c) for c in _ALPHABET]] = np.arange(1, len(_ALPHABET) + 1)
@@ -71,6 +76,15 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
     return out
 
 
+def windows(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Stretches of up to ``BODY`` characters that cover a candidate and overlap by half."""
+    if end - start <= BODY:
+        return [(start, end)]
+    at = {*range(start, end - BODY, STEP), end - BODY}
+    at.update(m.start() for m in _PART.finditer(text, start, end))
+    return [(s, min(end, s + BODY)) for s in sorted(at)]
+
+
 def encode(findings: list[tuple[str, str, str]]) -> np.ndarray:
     """(context before, candidate, context after) as rows of character codes, padded with 0."""
     out = np.zeros((len(findings), WIDTH), dtype=np.uint8)
@@ -235,15 +249,29 @@ def _scan(batches: Iterator[pd.DataFrame], sent, least: float) -> Iterator[pd.Da
     net = sent.value
     threshold = max(net.threshold, least)
     for pdf in batches:
-        bases, spans, owner, findings = [], [], [], []
+        bases, spans, owner = [], [], []
+        chance: list[float] = []
+        findings, of = [], []
+
+        def score() -> None:
+            for i, p in zip(of, net.probability(encode(findings)), strict=True):
+                chance[i] = max(chance[i], p)
+            findings.clear()
+            of.clear()
+
         for i, text in enumerate(pdf["text"]):
             base = base_spans(text)
             bases.append(base)
             for s, e in [*((s, e) for _, s, e in base), *candidates(text, base)]:
                 owner.append(i)
                 spans.append((s, e))
-                findings.append((text[max(0, s - LEFT) : s], text[s : min(e, s + BODY)], text[e : e + RIGHT]))
-        chance = net.probability(encode(findings)) if findings else np.zeros(0)
+                chance.append(0.0)
+                for a, b in windows(text, s, e):
+                    of.append(len(chance) - 1)
+                    findings.append((text[max(0, a - LEFT) : a], text[a:b], text[b : b + RIGHT]))
+                    if len(findings) >= PORTION:
+                        score()
+        score()
         every = [list(b) for b in bases]
         known = [{(s, e) for _, s, e in b} for b in bases]
         top = np.zeros(len(bases))
@@ -275,8 +303,9 @@ def scan_secrets(
     ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_model, top_score``:
     counts and digest of the fixed patterns' spans, all spans, how many of them
     only the network found, and the highest probability it gave.  The network
-    scores every base span and every other key-like run with the characters
-    around it.  It is trained on ``findings`` labelled findings, a number that
+    scores every base span and every other key-like run, of any length, with the
+    characters around it; one of over ``BODY`` characters in windows that overlap,
+    of which the highest probability counts.  It is trained on ``findings`` labelled findings, a number that
     bounds the sample and doesn't depend on the corpus, calibrated on a quarter
     of them held back, and reports what reaches the highest threshold that keeps
     ``recall`` there, ``least`` at the lowest.  Base spans always stay.

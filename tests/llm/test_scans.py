@@ -111,6 +111,19 @@ def test_candidates_of_any_length_and_beside_base_spans(spark):
     assert got.n_model == 3 and got.n_hex == 1 and got.spans.startswith("model:22:742,")
 
 
+def test_keys_late_in_a_candidate(spark):
+    key = "zK8vQ2mXw7LpR4tYb9NcJ6hD3sGfA1eU5oVi"
+    path = "/api/reports/annual/index/download/section/"
+    plain = path + "chapter/page/update/table12"
+    rows = [(1, f"see {path}{key} here"), (2, f"see {plain} here"), (3, f"see {path}name/of/value={key}/image/index/page here")]
+    got = {r.doc_id: r for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].n_model for i in (1, 2, 3)] == [1, 0, 1]
+    text = rows[2][1]
+    for a, b in secrets.candidates(text, []):
+        seen = secrets.windows(text, a, b)
+        assert set(range(a, b)) == {x for s, e in seen for x in range(s, e)} and all(e - s <= secrets.BODY for s, e in seen)
+
+
 def test_clean_documents_have_no_model_findings(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert secrets.scan_secrets(df).agg({"n_model": "sum"}).first()[0] == 0
