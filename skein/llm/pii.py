@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, text_of
@@ -22,9 +23,14 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
 _CONTEXT = re.compile(r"\w+|[^\w\s]")
 
-#: Identifiers that contexts may discover have this many characters, and
+#: Numbers written in groups: digits joined by single blanks, hyphens, full stops and brackets.
+_NUMBER = re.compile(r"(?<![\w@%])\+?\(?[0-9](?:(?:[\x20.-]|[\x20.-]?\(|\)[\x20.-]?\(?)?[0-9])*(?![\w@%])", re.ASCII)
+
+#: Identifiers that contexts may discover have this many characters or more, and
 #: contexts are read from this many characters on either side.
-TOKEN_SIZES, CONTEXT_CHARS = (6, 64), 80
+TOKEN_SIZE, CONTEXT_CHARS = 6, 80
+#: Longer identifiers are told apart by their digest.
+KEY_CHARS = 64
 
 
 def _emails(text: str) -> Iterator[Span]:
@@ -74,7 +80,8 @@ def candidates(text: str, base: list[Span]) -> list[tuple[str | None, int, int,
 
     An unlabelled identifier is a run of the characters that e-mail addresses are
     made of, with a digit or @ in it and outside every base span, less the full
-    stops and hyphens around it.
+    stops and hyphens around it; or a number written in groups, as far as base
+    spans leave it.  Groups that are a run by themselves are candidates too.
     """
     found: list[tuple[str | None, int, int]] = list(base)
     spans = sorted((s, e) for _, s, e in base)
@@ -89,7 +96,7 @@ def candidates(text: str, base: list[Span]) -> list[tuple[str | None, int, int,
         while done < len(text) and (text[done] in _LOCAL or text[done] == "@"):
             done += 1
         core = text[start:done].strip(".-_%+")
-        if not TOKEN_SIZES[0] <= len(core) <= TOKEN_SIZES[1]:
+        if len(core) < TOKEN_SIZE:
             continue
         start += text[start:done].index(core)
         end = start + len(core)
@@ -97,7 +104,17 @@ def candidates(text: str, base: list[Span]) -> list[tuple[str | None, int, int,
             at += 1
         if not any(s < end and start < e for s, e in spans[at : at + 8]):
             found.append((None, start, end))
-    return [(kind, s, e, text[s:e].lower(), _patterns(text, s, e)) for kind, s, e in found]
+    runs, at = {(s, e) for _, s, e in found}, 0
+    for first, last in [*spans, (len(text), len(text))]:
+        for m in _NUMBER.finditer(text, at, max(at, first)):
+            if m.end() - m.start() >= TOKEN_SIZE and m.span() not in runs:
+                found.append((None, *m.span()))
+        at = max(at, last)
+    return [(kind, s, e, _key(text[s:e].lower()), _patterns(text, s, e)) for kind, s, e in found]
+
+
+def _key(token: str) -> str:
+    return token if len(token) <= KEY_CHARS else "#" + hashlib.sha256(token.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def _patterns(text: str, start: int, end: int) -> list[str]:
@@ -179,8 +196,10 @@ def scan_pii(
     them become patterns, each scored by how many of the different identifiers
     that stand there are known ones of a kind; a pattern counts with ``support``
     seeds and a score of ``trust``, and identifiers whose patterns together
-    reach ``accept`` are discovered, as of that kind.  They add spans wherever
-    they stand, and base spans stay.  The graph is joined and aggregated in
+    reach ``accept`` are discovered, as of that kind.  Identifiers are runs of
+    e-mail characters and numbers in groups, of six characters or more.  They add
+    spans wherever they stand (where one lies in another, the outer one), and
+    base spans stay.  The graph is joined and aggregated in
     Spark; pattern and instance tables are as large as the corpus makes them.
 
     Null texts count as empty: no spans, the digest of the empty text.  Rows that
@@ -193,6 +212,9 @@ def scan_pii(
     found = base.select("uid", F.explode("found").alias("f")).select("uid", "f.*")
     learnt = _learn(found, rounds, support, trust, accept)
     new = found.filter("kind is null").drop("kind", "patterns").join(learnt, "token")
+    # of identifiers discovered within each other, the outer ones
+    outer = Window.partitionBy("uid").orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    new = new.withColumn("reached", F.max("end").over(outer)).filter("reached is null or end > reached")
     new = new.groupBy("uid").agg(F.collect_list(F.struct("kind", "start", "end")).alias("new"))
     old = F.expr("transform(filter(found, f -> f.kind is not null), f -> named_struct('kind', f.kind, 'start', f.start, 'end', f.end))")
     out = base.withColumn("old", old).drop("found").join(new, "uid", "left")

@@ -63,6 +63,19 @@ def test_pii_contexts_discover(spark):
     assert got[101].spans == "" and got[103].spans == ""
 
 
+def test_pii_discovers_numbers_in_groups_and_long_tokens(spark):
+    long = "user.name" * 10 + "7"
+    shown = ["(555) 010-1234", "555 010 1234", "4111 1111 1111 1112", long]
+    rows = [(i, f"w{'abc'[i % 3]} here, contact phone: +49 30 {1000000 + i * 7} please and more") for i in range(40)]
+    rows += [(100 + i, f"xx yy contact phone: {x} please now") for i, x in enumerate(shown)]
+    got = {r.doc_id: r for r in pii.scan_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, x in enumerate(shown):
+        assert got[100 + i].spans == f"phone:21:{21 + len(x)}" and got[100 + i].n_discovered == 1
+    text = "a@b.co 555 010 1234 8.8.8.8 (555) 010-9999 1x"
+    free = [text[s:e] for kind, s, e, _, _ in pii.candidates(text, pii.base_spans(text)) if kind is None]
+    assert {"555 010 1234", "(555) 010-9999"} <= set(free)
+
+
 def naive_secrets(t):
     word = "".join
     either = {w: word(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")}
