@@ -144,7 +144,9 @@ def _learn(found: DataFrame, rounds: int, support: int, trust: float, accept: fl
     A pattern's score for a kind is the sum of its instances' scores over their
     number plus one: distinct instances count, so copies of a document add
     nothing.  An instance's score is the noisy-or of its trusted patterns'
-    scores; seeds have 1 for their kind and keep it.
+    scores; seeds have 1 for their kind and keep it.  Instances of a score of
+    ``accept`` support a pattern as seeds do.  Scores never fall from round to
+    round, so rounds go on while they discover something new, ``rounds`` at least.
     """
     edges = (
         found.select("token", "kind", F.explode("patterns").alias("pattern"))
@@ -154,16 +156,17 @@ def _learn(found: DataFrame, rounds: int, support: int, trust: float, accept: fl
     seeds = found.groupBy("token").agg(*[F.coalesce(F.max((F.col("kind") == k).cast("double")), F.lit(0.0)).alias(f"seed_{k}") for k in KINDS])
     edges = materialise(edges.select("pattern", "token").join(seeds, "token"), "pii-edges")
     is_seed = F.greatest(*[F.col(f"seed_{k}") for k in KINDS]) > 0
-    scores = None
-    for _ in range(rounds):
+    accepted = F.greatest(*[F.col(f"conf_{k}") for k in KINDS]) >= accept
+    scores, known, new, done = None, 0, 0, 0
+    while done < rounds or new:
         now = edges if scores is None else edges.join(scores, "token", "left")
         conf = {k: F.col(f"seed_{k}") if scores is None else F.when(is_seed, F.col(f"seed_{k}")).otherwise(F.coalesce(f"conf_{k}", F.lit(0.0))) for k in KINDS}
         ranked = now.groupBy("pattern").agg(
             F.count("*").alias("n"),
-            F.count_if(is_seed).alias("seeds"),
+            F.count_if(is_seed if scores is None else is_seed | F.coalesce(accepted, F.lit(False))).alias("known"),
             *[F.sum(conf[k]).alias(f"sum_{k}") for k in KINDS],
         )
-        ranked = ranked.filter(F.col("seeds") >= support).select(
+        ranked = ranked.filter(F.col("known") >= support).select(
             "pattern", *[(F.col(f"sum_{k}") / (F.col("n") + 1)).alias(f"pat_{k}") for k in KINDS]
         )
         ranked = materialise(ranked.filter(F.greatest(*[F.col(f"pat_{k}") for k in KINDS]) >= trust), "pii-patterns")
@@ -175,6 +178,8 @@ def _learn(found: DataFrame, rounds: int, support: int, trust: float, accept: fl
             .agg(*[(1 - F.exp(F.sum(miss[k]))).alias(f"conf_{k}") for k in KINDS])
         )
         scores = materialise(scores, "pii-scores")
+        now_known = scores.filter(accepted).count()
+        known, new, done = now_known, now_known - known, done + 1
     best = F.array_max(F.array(*[F.struct(F.col(f"conf_{k}").alias("conf"), F.lit(-i).alias("place"), F.lit(k).alias("kind")) for i, k in enumerate(KINDS)]))
     return scores.select("token", best.alias("best")).filter(F.col("best.conf") >= accept).select("token", "best.kind")
 
@@ -192,10 +197,11 @@ def scan_pii(
 
     ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_discovered``:
     counts and digest of the fixed patterns' spans, and all spans.  The fixed
-    patterns' matches are the seeds.  Over ``rounds``, words before and around
-    them become patterns, each scored by how many of the different identifiers
-    that stand there are known ones of a kind; a pattern counts with ``support``
-    seeds and a score of ``trust``, and identifiers whose patterns together
+    patterns' matches are the seeds.  Over ``rounds`` and on until a round
+    discovers nothing new, words before and around them become patterns, each
+    scored by how many of the different identifiers that stand there are known
+    ones of a kind; a pattern counts with ``support`` seeds or discovered
+    identifiers and a score of ``trust``, and identifiers whose patterns together
     reach ``accept`` are discovered, as of that kind.  Identifiers are runs of
     e-mail characters and numbers in groups, of six characters or more.  They add
     spans wherever they stand (where one lies in another, the outer one), and

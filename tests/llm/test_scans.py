@@ -76,6 +76,15 @@ def test_pii_discovers_numbers_in_groups_and_long_tokens(spark):
     assert {"555 010 1234", "(555) 010-9999"} <= set(free)
 
 
+def test_pii_discovers_over_two_hops(spark):
+    rows = [(i, f"w{'abc'[i % 3]} here, contact phone: +49 30 {1000000 + i * 7} please and more") for i in range(40)]
+    rows += [(100 + i, f"contact phone: 555-01{i:02d} please, or dial upon 555-01{i:02d} urgently") for i in range(8)]
+    rows += [(200, "or dial upon 555-0999 urgently"), (201, "or not upon 555-0998 this")]
+    got = {r.doc_id: r for r in pii.scan_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100].n_discovered == 2
+    assert got[200].spans == "phone:13:21" and got[200].n_discovered == 1 and got[201].spans == ""
+
+
 def naive_secrets(t):
     word = "".join
     either = {w: word(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")}
