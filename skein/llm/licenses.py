@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -74,11 +76,48 @@ class Scanner:
                 out.append(i)
         return out
 
+    def windows(self, text: str, template: int, units: list[tuple[int, int]]) -> list[tuple[float, int, int]]:
+        """``coefficient, start, end`` of stretches of words from one of the template's bigrams to another.
+
+        For each first bigram the best last one within the size bounds; a stretch
+        shorter than the template is compared with words around it up to its size.
+        Stretches within ``units``, which match as a whole, are left to them.
+        """
+        bag = self.bags[template]
+        total = bag.total()
+        least, most = self.share * total, int(total / self.share)
+        at = [m.span() for m in _WORD.finditer(text)]
+        w = [text[s:e].lower() for s, e in at]
+        hits = [(j, g) for j, g in enumerate(zip(w, w[1:], strict=False)) if g in bag]
+        starts = sorted(s for s, _ in units)
+        reach = list(itertools.accumulate((e for _, e in sorted(units)), max))
+        out, last = [], 0
+        for i, (j, _) in enumerate(hits):
+            last = max(last, i)
+            while last < len(hits) and hits[last][0] < j + most:
+                last += 1
+            if last - i < least:
+                continue
+            seen: Counter = Counter()
+            both, best = 0, None
+            for k, g in hits[i:last]:
+                seen[g] += 1
+                both += seen[g] <= bag[g]
+                score = 2 * both / (max(k - j + 1, total) + total)
+                if score >= self.least and (best is None or score > best[0]):
+                    best = score, at[j][0], at[k + 1][1]
+            if best:
+                before = bisect.bisect_right(starts, best[1])
+                if not before or reach[before - 1] < best[2]:
+                    out.append(best)
+        return out
+
     def scan(self, text: str) -> list[tuple[str, int, int, float]]:
         """``licence, start, end, coefficient`` of the parts that match best, none overlapping.
 
-        Parts are lines, paragraphs, the whole text, and runs of consecutive
-        lines that are mostly made of one template's bigrams.
+        Parts are lines, paragraphs, the whole text, runs of consecutive lines
+        that are mostly made of one template's bigrams, and stretches of words in
+        longer lines and paragraphs, wherever they start and end.
         """
         w = words(text)
         found = self.every.intersection(zip(w, w[1:], strict=False))
@@ -104,6 +143,7 @@ class Scanner:
                     units.add((first, last))
                     first = last = None
         hits = []
+        size_of = [bag.total() for bag in self.bags]
         for s, e in units:
             bag = Counter(_bigrams(words(text[s:e])))
             size = bag.total()
@@ -111,9 +151,12 @@ class Scanner:
                 if self.share * self.bags[i].total() <= size <= self.bags[i].total() / self.share:
                     score = dice(bag, self.bags[i])
                     if score >= self.least:
-                        hits.append((-score, s, e, self.names[i]))
+                        hits.append((-score, s, -size_of[i], e, self.names[i]))
+        matched = [(s, e) for _, s, _, e, _ in hits]
+        for i in open_ones:
+            hits += [(-score, s, -size_of[i], e, self.names[i]) for score, s, e in self.windows(text, i, matched)]
         taken: list[tuple[str, int, int, float]] = []
-        for score, s, e, name in sorted(hits):
+        for score, s, _, e, name in sorted(hits):  # of equal ones, that of the longer template
             while s < e and text[s].isspace():
                 s += 1
             while e > s and text[e - 1].isspace():

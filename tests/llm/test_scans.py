@@ -182,6 +182,19 @@ def test_licence_over_many_lines():
     assert licenses.Scanner().scan("Prose goes before.\n" + text + "\nProse goes after it.") == [("MIT", 19, 19 + len(text), 1.0)]
 
 
+def test_licence_within_a_longer_line():
+    prose = "This module does a thing that nobody has asked for and does it rather well, as its users have often said. " * 6
+    prose = prose.strip()
+    for name, text in licenses.TEMPLATES[:8]:
+        core = text.rstrip("./")
+        line = f"{prose} {core}. {prose}"
+        assert (name, len(prose) + 1, len(prose) + 1 + len(core), 1.0) in licenses.Scanner().scan(line)
+        wrapped = line[:40] + "\n" + line[40:].replace("the ", "the\n")
+        got = licenses.Scanner().scan(wrapped)
+        assert [x for x in got if x[0] == name and x[1] == len(prose) + 2 and x[3] == 1.0]
+    assert licenses.Scanner().scan(prose * 3) == []
+
+
 def test_licence_rows(spark):
     rows = [(1, None), (2, ""), (None, "Released under the MIT License."), (3, "MIT"), (4, "Released under the MIT License.\nx\nLicensed under CC BY-NC 4.0.")]
     got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, license string")).collect()}
