@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import atexit
 import math
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space as the contracts define it: space and the code points 9 to 13.
@@ -15,17 +19,21 @@ SPACE = r"[\x20\x09-\x0D]+"
 NON_SPACE = r"[^\x20\x09-\x0D]+"
 
 _written: list[tuple[SparkSession, str]] = []
+_runs: ContextVar[tuple[list[str], ...]] = ContextVar("runs", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session has no such setting (tests, local mode) is one made.
+    A session without that setting gets a temporary folder in local mode only;
+    on a cluster, where executors would write to their own disks, it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="skein-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -41,32 +49,45 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/skein/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
+    for run in _runs.get():
+        run.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written(spark: SparkSession) -> int:
-    """How many tables of this session :func:`materialise` has left so far, for :func:`release`."""
-    return sum(x[0] is spark for x in _written)
+@contextmanager
+def run_tables() -> Iterator[list[str]]:
+    """The tables that :func:`materialise` writes inside, in order, for :func:`release`.
+
+    They are those of this run alone, whatever other threads write meanwhile.
+    """
+    mine: list[str] = []
+    token = _runs.set((*_runs.get(), mine))
+    try:
+        yield mine
+    finally:
+        _runs.reset(token)
 
 
-def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
-    """Delete tables written by :func:`materialise` after the first ``since``, but for the last ``keep``.
+def release(spark: SparkSession, tables: list[str], keep: int = 0) -> None:
+    """Delete the given tables but for the last ``keep``; the list is left with those.
 
     For callers that have consumed every result that reads them.
     """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    mine = [x for x in _written if x[0] is spark]
-    for item in mine[since : len(mine) - keep]:
-        path = jvm.org.apache.hadoop.fs.Path(item[1])
-        path.getFileSystem(conf).delete(path, True)
-        _written.remove(item)
+    gone = tables[: len(tables) - keep]
+    for path in gone:
+        if (spark, path) in _written:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+            _written.remove((spark, path))
+    del tables[: len(gone)]
 
 
 def _release_all() -> None:
     for spark in {id(s): s for s, _ in _written}.values():
         try:
-            release(spark)
+            release(spark, [path for s, path in _written if s is spark])
         except Exception:  # the session has ended; its shared folder goes with it
             pass
 
@@ -108,8 +129,6 @@ def ranked(df: DataFrame, group: list[str], order: list[str], name: str) -> Data
         .agg(F.min("_gid").alias("_first"), F.count("*").alias("_n"))
     )
     runs = materialise(runs, name + "-runs")
-    from pyspark.sql import Window
-
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = runs.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     starts = starts.select(

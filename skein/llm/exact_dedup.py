@@ -9,10 +9,12 @@ from .common import SPACE, materialise, parts, row_of, text_of
 
 #: Levels' fan-in as a power of two: four binomial rounds are merged in one shuffle.
 FAN_BITS = 4
+#: What tells texts apart: the digest, and what verifies it.
+KEY = ["text_sha256", "length", "check"]
 
 
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per input row: ``doc_id, text_sha256, length, uid``.
+    """One row per input row: ``doc_id, text_sha256, length, check, uid``.
 
     Texts count after every run of white space became one space; null counts as
     empty.  ``uid`` numbers the rows and tells repeated rows apart.  The table
@@ -25,32 +27,33 @@ def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
         "doc_id",
         F.sha2("norm", 256).alias("text_sha256"),
         F.octet_length("norm").cast("long").alias("length"),
+        F.xxhash64("norm").alias("check"),
         F.monotonically_increasing_id().alias("uid"),
     )
     return materialise(runs, "digests")
 
 
 def merge_runs(rows: DataFrame) -> DataFrame:
-    """Merge the partitions' digest runs level by level: ``text_sha256, length, keep, group_size``.
+    """Merge the partitions' digest runs level by level: ``text_sha256, length, check, keep, group_size``.
 
     A run is one partition's digests.  At each level, runs whose numbers agree
-    but for the lowest bits meet: their entries of equal digest *and* length
-    (the check beside the digest) become one that keeps the smallest identifier
-    and adds up the sizes.  Each level is a sorted-key aggregation dealt by
-    (run group, digest), so that no task holds more than a share of a run group,
-    and a digest of which there are millions of copies arrives as one entry per
-    run.  The last level has one run left, dealt by digest alone.
+    but for the lowest bits meet: their entries of equal digest become one that
+    keeps the smallest identifier and adds up the sizes, if the length and a
+    second hash of another kind verify that the texts are the same.  Each level
+    is a sorted-key aggregation dealt by (run group, digest), so that no task
+    holds more than a share of a run group, and a digest of which there are
+    millions of copies arrives as one entry per run.  The last level has one run left, dealt by digest alone.
     """
     last = rows.agg(F.coalesce(F.max(F.shiftright("uid", 33)), F.lit(0))).first()[0]
     entry = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "uid")
     level = rows.select(
-        F.shiftright("uid", 33).alias("run"), "text_sha256", "length", entry.alias("keep"), F.lit(1).alias("group_size")
+        F.shiftright("uid", 33).alias("run"), *KEY, entry.alias("keep"), F.lit(1).alias("group_size")
     )
     while True:
         last >>= FAN_BITS
         level = (
             level.withColumn("run", F.shiftright("run", FAN_BITS))
-            .groupBy("run", "text_sha256", "length")
+            .groupBy("run", *KEY)
             .agg(F.min("keep").alias("keep"), F.sum("group_size").alias("group_size"))
         )
         if last == 0:
@@ -76,10 +79,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
     n = max(100, 8 * parts(docs))
     hot = groups.filter(F.col("group_size") * n > total)
-    key = ["text_sha256", "length"]
-    tail = rows.join(F.broadcast(hot.select(*key)), key, "left_anti")
-    found = rows.join(F.broadcast(hot), key).unionByName(
-        tail.join(groups.filter(F.col("group_size") * n <= total), key)
+    tail = rows.join(F.broadcast(hot.select(*KEY)), KEY, "left_anti")
+    found = rows.join(F.broadcast(hot), KEY).unionByName(
+        tail.join(groups.filter(F.col("group_size") * n <= total), KEY)
     )
     return found.select(
         "doc_id",

@@ -11,19 +11,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, parts, release, row_of, text_of, written
+from .common import materialise, parts, release, row_of, run_tables, text_of
 
 #: Words of an n-gram, least similarity, and the share of pairs at that similarity to be met in some band.
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99999
+#: Rows of a band: eight bring pairs of similarity 0.3 into a common band in 0.4 % of cases, five would in 7 %.
+ROWS = 8
 #: Sets, and n-grams, that one side of a tile takes.
 TILE_SETS, TILE_GRAMS = 512, 2_000_000
+#: Minima of each band that go into a sketch, a byte each, and the share of equal bytes from which a pair
+#: may be similar: at similarity 0.8 a share below it is six standard deviations off.
+SKETCHED, ALIKE = 2, 0.58
+#: Sketches that one side of a tile of a bucket takes, and rows of buckets that one task takes.
+BUCKET_SETS, BUCKET_ROWS = 16_384, 200_000
 #: Columns of the dense product inside a tile.
 PRODUCT_COLUMNS = 4096
 
 _U = np.uint64
 
 
-def banding(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = 5) -> tuple[int, int]:
+def banding(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> tuple[int, int]:
     """Bands and rows: as many bands as bring the chance of a common band to ``recall``."""
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows)), rows
 
@@ -72,27 +79,28 @@ _SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
 
 def _signer(bands: int, rows: int, seed: int = 7):
-    """Band hashes of an n-gram set: minima of ``bands * rows`` random functions, mixed by band."""
+    """Band hashes and sketch of an n-gram set, from the minima of ``bands * rows`` random functions."""
     rng = np.random.default_rng(seed)
-    mul = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)[:, None] * _U(2) + _U(1)
-    add = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)[:, None]
-
-    def sign(grams: np.ndarray) -> np.ndarray:
-        low = np.full(bands * rows, np.iinfo(np.uint64).max, dtype=_U)
-        for i in range(0, len(grams), 256):  # n-gram hashes are random already; odd multiples permute them
-            h = mul * grams[None, i : i + 256]
-            h += add
-            np.minimum(low, h.min(axis=1), out=low)
-        out = np.zeros(bands, dtype=_U)
+    mul = rng.integers(0, 2**31, bands * rows, dtype=np.uint32)[None, :] * np.uint32(2) + np.uint32(1)
+    start = _mix(np.arange(1, bands + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
+
+    def sign(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # n-gram hashes are random already, and odd multiples permute their upper halves
+        upper = (grams >> _U(32)).astype(np.uint32)[:, None]
+        low = np.full(bands * rows, np.iinfo(np.uint32).max, dtype=np.uint32)
+        for i in range(0, len(upper), 64):
+            np.minimum(low, (upper[i : i + 64] * mul).min(axis=0), out=low)
+        table = low.reshape(bands, rows)
+        out = start
         for r in range(rows):
-            out = _mix(out + low.reshape(bands, rows)[:, r] + _U(r + 1))
-        return out
+            out = _mix(out + table[:, r])
+        return out, (table[:, :SKETCHED] * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).ravel()
 
     return sign
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
-    """Per row: ``doc_id, text_key, set_key, n_grams, bands``; texts themselves are left behind."""
+    """Per row: ``doc_id, text_key, set_key, n_grams, bands, sketch``; texts themselves are left behind."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, sign = Shingler(words), _signer(bands, rows)
@@ -101,14 +109,27 @@ def signatures(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
             for text in pdf["text"]:
                 grams = shingler.grams(text)
                 key = hashlib.blake2b(grams.tobytes(), digest_size=16).hexdigest()
-                out.append((key, len(grams), sign(grams).view(np.int64) if len(grams) else np.zeros(0, np.int64)))
-            made = pd.DataFrame(out, columns=["set_key", "n_grams", "bands"])
+                hashes, sketch = sign(grams) if len(grams) else (np.zeros(0, _U), np.zeros(0, np.uint8))
+                out.append((key, len(grams), hashes.view(np.int64), sketch.tobytes()))
+            made = pd.DataFrame(out, columns=["set_key", "n_grams", "bands", "sketch"])
             made.insert(0, "text_key", pdf["text_key"].array)
             made.insert(0, "doc_id", pdf["doc_id"].array)
             yield made
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInPandas(scan, f"doc_id {kind}, text_key string, set_key string, n_grams long, bands array<long>")
+    return docs.mapInPandas(scan, f"doc_id {kind}, text_key string, set_key string, n_grams long, bands array<long>, sketch binary")
+
+
+def _joined(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join with a table of one row a key and ``n``, the number of ``rows`` (``total`` in all) that have it.
+
+    Keys of more than one in ``k`` rows, of which there are at most ``k``, are
+    broadcast; the others, none of them hot, meet by a shuffle.
+    """
+    k = max(100, 8 * parts(rows))
+    hot = F.broadcast(table.filter(F.col("n") * k > total))
+    tail = rows.join(hot.select(key), key, "left_anti").join(table.filter(F.col("n") * k <= total), key)
+    return rows.join(hot, key).unionByName(tail)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -117,32 +138,97 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn until nothing changes; each is an
     aggregation and a join by node, of at most as many rows as there are edges.
     Nodes of any degree are fine: a node's least neighbour is aggregated before
-    the shuffle, and the join is one that Spark splits.
+    the shuffle, and edges of hubs stay where they are for the join.
     """
     spark = edges.sparkSession
-    first = written(spark)
-    edges = materialise(edges.filter("a <> b").distinct(), "edges")
-    before = None
-    while True:
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
-        small = small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).filter("a <> b").distinct()
-        edges = materialise(small, "edges")
-        release(spark, first, keep=1)  # the edges before these
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
-            break
-        before = tuple(now)
+    with run_tables() as tables:
+        edges = materialise(edges.filter("a <> b").distinct(), "edges")
+        state = F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+        before = tuple(edges.agg(*state).first())
+        while True:
+            both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+            large = _joined(both, least, "a", 2 * before[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            large = materialise(large.filter("a <> b").distinct(), "edges")  # each from a greater node to a smaller one
+            least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+            small = _joined(large, least, "a", large.count())
+            small = small.select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
+            small = small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).filter("a <> b").distinct()
+            edges = materialise(small, "edges")
+            release(spark, tables, keep=1)  # the edges before these
+            now = tuple(edges.agg(*state).first())
+            if now == before:
+                break
+            before = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
     )
 
 
+def _alike(sketches: np.ndarray) -> np.ndarray:
+    """For each sketch the position of the first that a chain of alike ones leads to.
+
+    Each is compared once, as its turn comes, with those that no chain has
+    reached yet: a group of copies takes about one comparison a member.
+    """
+    n = len(sketches)
+    root = np.full(n, -1, dtype=np.int64)
+    least = math.ceil(ALIKE * sketches.shape[1])
+    left = np.arange(n)
+    for first in range(n):
+        if root[first] >= 0:
+            continue
+        root[first] = first
+        left = left[root[left] < 0]
+        queue = [first]
+        while queue and len(left):
+            met = (sketches[left] == sketches[queue.pop()]).sum(axis=1) >= least
+            found = left[met]
+            root[found] = first
+            queue.extend(found.tolist())
+            left = left[~met]
+    return root
+
+
+def _refined(groups: DataFrame, banded: DataFrame, sets: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``groups`` with those of over ``TILE_SETS`` sets cut into what alike sketches of common buckets hold together.
+
+    Buckets chain what few n-grams join into large groups.  Pairs of a bucket are
+    compared by sketch, a bucket of over ``BUCKET_SETS`` in tiles, and only
+    spanning edges leave a task.
+    """
+    sizes = groups.groupBy("comp").agg(F.count("*").alias("n"))
+    large = materialise(sizes.filter(F.col("n") > TILE_SETS), "large-groups")
+    if not large.limit(1).count():
+        return groups
+    total = groups.count()
+    inside = _joined(groups, large, "comp", total).select(F.col("node").alias("sid"))
+    held = inside.join(sets.select("sid", "sketch"), "sid")
+    rows = banded.join(buckets, "hash").join(held, "sid")
+    rows = rows.withColumn("side", F.ceil(F.col("n") / BUCKET_SETS).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("side")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, side - 1)")))
+    rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    bins = max(parts(sets), -(-buckets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // BUCKET_ROWS))
+    # small buckets share tasks; a large one, or a tile of it, is a task
+    owner = F.when(F.col("n") > BUCKET_SETS // 8, F.col("hash")).otherwise(F.pmod("hash", F.lit(bins)))
+    rows = rows.withColumn("owner", owner).select("owner", "low", "high", "hash", "sid", "sketch")
+
+    def spans(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["hash", "sid"], ignore_index=True)
+        sid, hashes = pdf["sid"].to_numpy(), pdf["hash"].to_numpy()
+        cuts = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1], [True])))
+        root = np.empty(len(pdf), dtype=np.int64)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            root[a:b] = a + _alike(np.frombuffer(b"".join(pdf["sketch"].iloc[a:b]), dtype=np.uint8).reshape(b - a, -1))
+        moved = sid != sid[root]
+        return pd.DataFrame({"a": sid[moved], "b": sid[root][moved]}).drop_duplicates()
+
+    edges = rows.groupBy("owner", "low", "high").applyInPandas(spans, "a long, b long")
+    smaller = _joined(groups, sizes.filter(F.col("n") <= TILE_SETS), "comp", total).select("node", "comp")
+    return smaller.unionByName(components(edges))
+
+
 def _links(sizes: np.ndarray, grams: list[np.ndarray], split: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) of sets that are similar: within all if ``split`` is 0, else of the first ``split`` with the rest.
 
@@ -221,9 +307,11 @@ def similar(
        the band hashes.  Equal sets are one from here on, with their number.
     2. Sets are dealt by band hash; each meets the smallest of its bucket, and
        these edges' components hold every pair that shares a band.  ``banding``
-       sets the number of bands from the recall.
-    3. All pairs of a component are verified on full n-gram sets, which are built
-       from the text of one row per set.  Small components are packed into tiles;
+       sets the number of bands from the recall.  Components of over
+       ``TILE_SETS`` sets are cut where no two sets of a bucket have alike
+       sketches, as chains of slight likeness would otherwise grow with the corpus.
+    3. Pairs of a component are verified on full n-gram sets, which are built
+       from the text of one row per set.  Small components are packed into tasks;
        a large one is dealt to tiles of two blocks each, whose pairs are found by
        matrix products and leave the tile as counts per set and spanning links,
        never as pairs.
@@ -236,20 +324,23 @@ def similar(
 
     first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key")
     sets = signed.groupBy("set_key").agg(
-        F.min(first).alias("first"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")
+        F.min(first).alias("first"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
     )
     sets = materialise(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
 
-    banded = sets.select("sid", F.posexplode("bands").alias("band", "hash"))
-    buckets = banded.groupBy("band", "hash").agg(F.min("sid").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    edges = banded.join(buckets.select("band", "hash", "least"), ["band", "hash"]).select(F.col("least").alias("b"), F.col("sid").alias("a"))
+    banded = sets.select("sid", F.explode("bands").alias("hash"))  # a hash holds its band's number
+    buckets = banded.groupBy("hash").agg(F.min("sid").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    buckets = materialise(buckets, "buckets")
+    total = sets.agg(F.coalesce(F.sum(F.size("bands")), F.lit(0))).first()[0]
+    edges = _joined(banded, buckets, "hash", total).select(F.col("least").alias("b"), F.col("sid").alias("a"))
     groups = materialise(components(edges), "candidate-groups")
+    groups = materialise(_refined(groups, banded, sets, buckets.select("hash", "n")), "refined-groups")
 
     found = _verify(base, sets, groups, words, similarity)
     found = materialise(found, "links")
     counts = found.groupBy("sid").agg(F.sum("copies_met").alias("copies_met"), F.sum("sets_met").alias("sets_met"))
     classes = components(found.filter("sid <> root").select(F.col("sid").alias("a"), F.col("root").alias("b")))
-    sets = sets.drop("bands").join(counts, "sid", "left").join(classes, sets["sid"] == classes["node"], "left")
+    sets = sets.drop("bands", "sketch").join(counts, "sid", "left").join(classes, sets["sid"] == classes["node"], "left")
     sets = sets.select(
         "set_key", "first", "copies", F.coalesce("comp", "sid").alias("comp"),
         F.coalesce("copies_met", F.lit(0)).alias("copies_met"), F.coalesce("sets_met", F.lit(0)).alias("sets_met"),
@@ -267,32 +358,33 @@ def similar(
 
 def _verify(base: DataFrame, sets: DataFrame, groups: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links of all pairs within each group: ``sid, root, copies_met, sets_met`` by tile."""
-    members = groups.withColumnRenamed("node", "sid").join(sets.drop("bands", "set_key"), "sid")
-    sizes = members.groupBy("comp").agg(F.count("*").alias("g"), F.sum("n_grams").alias("grams"))
-    side = F.ceil(F.greatest(F.col("g") / TILE_SETS, F.col("grams") / TILE_GRAMS)).cast("int")
-    sizes = sizes.withColumn("side", side)
-    members = members.join(sizes, "comp")
-    members = materialise(members.select("sid", "comp", "side", "g", "copies", "first"), "members")
-    total = members.count()
-    bins = max(parts(base), -(-total // TILE_SETS))
-
-    key = members.select("sid", "comp", "side", "copies", F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
+    members = groups.withColumnRenamed("node", "sid").join(sets.select("sid", "copies", "first", "n_grams"), "sid")
+    sizes = members.groupBy("comp").agg(F.count("*").alias("n"), F.sum("n_grams").alias("grams"))
+    side = F.ceil(F.greatest(F.col("n") / TILE_SETS, F.col("grams") / TILE_GRAMS)).cast("int")
+    # a component of many sets or n-grams has tasks of its own; others share tasks that hold a tile's worth on average
+    sizes = sizes.withColumn("side", side).withColumn("tiled", F.greatest(F.col("n") / TILE_SETS, F.col("grams") / TILE_GRAMS) > 0.125)
+    sizes = materialise(sizes, "candidate-sizes")
+    total, grams = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("grams"), F.lit(0))).first()
+    members = _joined(members, sizes, "comp", total).select("sid", "comp", "side", "tiled", "copies", "first")
+    members = materialise(members, "members")
+    bins = max(parts(base), 2 * -(-total // TILE_SETS), 2 * -(-grams // TILE_GRAMS))
+
+    key = members.select("sid", "comp", "side", "tiled", "copies", F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
     texts = base.join(key, base["doc_id"].eqNullSafe(key["_id"]) & (base["text_key"] == key["_key"]))
-    texts = texts.select("sid", "comp", "side", "copies", "text")
+    texts = texts.select("sid", "comp", "side", "tiled", "copies", "text")
 
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
         for pdf in batches:
             yield pdf.drop(columns="text").assign(grams=[shingler.grams(t).tobytes() for t in pdf["text"]])
 
-    packed = texts.mapInPandas(shingled, "sid long, comp long, side int, copies long, grams binary")
+    packed = texts.mapInPandas(shingled, "sid long, comp long, side int, tiled boolean, copies long, grams binary")
     # a block of a large group meets every block of it, itself included, once
     block = F.pmod(F.xxhash64("sid"), F.col("side")).cast("int")
     packed = packed.withColumn("block", F.when(F.col("side") > 1, block).otherwise(0))
     packed = packed.withColumn("other", F.explode(F.expr("if(side > 1, sequence(0, side - 1), array(0))")))
     packed = packed.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    packed = packed.withColumn("owner", F.when(F.col("side") > 1, F.col("comp")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(bins))))
-    packed = packed.withColumn("tiled", F.col("side") > 1)
+    packed = packed.withColumn("owner", F.when(F.col("tiled"), F.col("comp")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(bins))))
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["comp", "sid"])

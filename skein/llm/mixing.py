@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, ranked, row_of, text_of
@@ -97,7 +97,8 @@ def mix(
     each = F.least(each, F.lit(float(cap)))
     drawn = F.md5(F.concat(F.coalesce("source", F.lit("")), F.lit(f":{seed}")))
     offset = F.conv(F.substring(drawn, 1, 5), 16, 10).cast("double") / F.lit(float(1 << 20))
-    crossed = F.floor(F.col("rank") * each + each + offset) - F.floor(F.col("rank") * each + offset)
+    # both ends by one formula, so that neighbours share their boundary to the last bit
+    crossed = F.floor((F.col("rank") + 1) * each + offset) - F.floor(F.col("rank") * each + offset)
     return placed.select("doc_id", "text_hash", "size", "source_size", "target", crossed.cast("long").alias("copies"))
 
 
@@ -127,8 +128,6 @@ def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options
     )
     on = marked["_d"].eqNullSafe(made["_id"]) & (marked["_h"] == made["_hash"])
     if repeats:
-        from pyspark.sql import Window
-
         made = made.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("copies")))
         marked = marked.withColumn("_n", F.row_number().over(Window.partitionBy("_d", "_h").orderBy("_h")))
         on = marked["_d"].eqNullSafe(made["_id"]) & (marked["_h"] == made["_hash"]) & (marked["_n"] == made["_k"])

@@ -17,7 +17,8 @@ KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match begins where a run of digits does: from within the run it would fail or end alike.
+_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
@@ -26,10 +27,10 @@ _CONTEXT = re.compile(r"\w+|[^\w\s]")
 #: Numbers written in groups: digits joined by single blanks, hyphens, full stops and brackets.
 _NUMBER = re.compile(r"(?<![\w@%])\+?\(?[0-9](?:(?:[\x20.-]|[\x20.-]?\(|\)[\x20.-]?\(?)?[0-9])*(?![\w@%])", re.ASCII)
 
-#: Identifiers that contexts may discover have this many characters or more, and
-#: contexts are read from this many characters on either side.
+#: Identifiers that contexts may discover have this many characters or more.  Contexts are
+#: looked for within this many characters on either side, further where these hold too few words.
 TOKEN_SIZE, CONTEXT_CHARS = 6, 80
-#: Longer identifiers are told apart by their digest.
+#: Longer identifiers and context words are told apart by their digest.
 KEY_CHARS = 64
 
 
@@ -102,7 +103,7 @@ def candidates(text: str, base: list[Span]) -> list[tuple[str | None, int, int,
         end = start + len(core)
         while at < len(spans) and spans[at][1] <= start:
             at += 1
-        if not any(s < end and start < e for s, e in spans[at : at + 8]):
+        if at == len(spans) or spans[at][0] >= end:
             found.append((None, start, end))
     runs, at = {(s, e) for _, s, e in found}, 0
     for first, last in [*spans, (len(text), len(text))]:
@@ -117,12 +118,22 @@ def _key(token: str) -> str:
     return token if len(token) <= KEY_CHARS else "#" + hashlib.sha256(token.encode("utf-8", "surrogatepass")).hexdigest()
 
 
+def _near(text: str, at: int, way: int, n: int) -> list[str]:
+    """The ``n`` words and signs before (``way`` -1) or after a place, whole however long they are."""
+    size = CONTEXT_CHARS
+    while True:
+        part = text[max(0, at - size) : at] if way < 0 else text[at : at + size]
+        found = _CONTEXT.findall(part.lower())
+        if len(found) > n or len(part) < size:
+            return found[-n:] if way < 0 else found[:n]
+        size *= 4
+
+
 def _patterns(text: str, start: int, end: int) -> list[str]:
     """The lexical contexts that an identifier stands in: what precedes it, and what is around it."""
-    left = _CONTEXT.findall(text[max(0, start - CONTEXT_CHARS) : start].lower())[-2:]
-    right = _CONTEXT.findall(text[end : end + CONTEXT_CHARS].lower())[:1]
-    left = ["^"] * (2 - len(left)) + left
-    right = right or ["$"]
+    left, right = _near(text, start, -1, 2), _near(text, end, 1, 1)
+    left = ["^"] * (2 - len(left)) + [_key(x) for x in left]
+    right = [_key(x) for x in right] or ["$"]
     return [f"{left[0]} {left[1]} _", f"{left[1]} _ {right[0]}"]
 
 

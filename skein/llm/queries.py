@@ -121,6 +121,6 @@ ORACLES: dict[str, str] = {
                      ('0x' || substr(md5(concat(coalesce(d.source, ''), ':17')), 1, 5))::BIGINT / 1048576.0::DOUBLE AS off
               FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size::BIGINT AS size, source_size, target,
-               ((floor(rank * each + each + off) - floor(rank * each + off)) * size)::BIGINT AS taken
+               ((floor((rank + 1) * each + off) - floor(rank * each + off)) * size)::BIGINT AS taken
         FROM r""",
 }

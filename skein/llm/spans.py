@@ -15,6 +15,3 @@ def joined(spans: Iterable[Span]) -> str:
 def digest(spans: Iterable[Span]) -> str:
     return hashlib.sha256(joined(spans).encode()).hexdigest()
 
-
-def overlaps(spans: list[tuple[int, int]], start: int, end: int) -> bool:
-    return any(s < end and start < e for s, e in spans)

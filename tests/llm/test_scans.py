@@ -40,7 +40,8 @@ def test_pii_base_equals_the_patterns():
 def test_pii_linear_on_long_runs():
     assert pii.base_spans("a" * 300_000) == []
     assert pii.base_spans("a" * 100_000 + "@b.c")[0] == ("email", 0, 100_004)
-    assert pii.base_spans("9" * 6000 + ".1.1.1") == []
+    assert pii.base_spans("9" * 1_000_000) == pii.base_spans("9" * 500_000 + ".1.1.1") == []
+    assert pii.base_spans("9" * 500_000 + " 1.2.3.4")[-1] == ("ip", 500_001, 500_008)
 
 
 def test_pii_rows(spark):
@@ -164,13 +165,13 @@ def brute_dice(a, b):
 def test_licences_by_line_equal_brute_force():
     scanner = licenses.Scanner()
     r = random.Random(2)
-    lines = [t for _, t in licenses.TEMPLATES if len(t) < 200] + ["Nothing of the kind here.", "Licensed under", "the MIT License"]
+    lines = [t for _, t in licenses.NOTICES if len(t) < 200] + ["Nothing of the kind here.", "Licensed under", "the MIT License"]
     for _ in range(150):
         words = r.choice(lines).split()
         for _ in range(r.randint(0, 3)):
             words[r.randrange(len(words))] = r.choice(["of", "x1", "License"])
         line = " ".join(words)
-        best = max(brute_dice(line, t) for _, t in licenses.TEMPLATES)
+        best = max(brute_dice(line, t) for _, t in licenses.templates())
         got = scanner.scan("A first line of prose.\n\n" + line + "\n\nAnd some more of it.")
         assert bool(got) == (best >= 0.8)
         if got:
@@ -178,14 +179,14 @@ def test_licences_by_line_equal_brute_force():
 
 
 def test_licence_over_many_lines():
-    text = licenses.TEMPLATES[0][1].replace(". ", ".\n")
+    text = licenses.NOTICES[0][1].replace(". ", ".\n")
     assert licenses.Scanner().scan("Prose goes before.\n" + text + "\nProse goes after it.") == [("MIT", 19, 19 + len(text), 1.0)]
 
 
 def test_licence_within_a_longer_line():
     prose = "This module does a thing that nobody has asked for and does it rather well, as its users have often said. " * 6
     prose = prose.strip()
-    for name, text in licenses.TEMPLATES[:8]:
+    for name, text in licenses.NOTICES[:8]:
         core = text.rstrip("./")
         line = f"{prose} {core}. {prose}"
         assert (name, len(prose) + 1, len(prose) + 1 + len(core), 1.0) in licenses.Scanner().scan(line)
@@ -195,6 +196,25 @@ def test_licence_within_a_longer_line():
     assert licenses.Scanner().scan(prose * 3) == []
 
 
+def test_long_texts_and_neighbouring_licences():
+    scanner = licenses.Scanner()
+    for name, text in licenses.templates()[len(licenses.NOTICES) :]:
+        shown = "Some prose first.\n" + text.replace("\n", " ") + "\nand some after it."
+        found = scanner.scan(shown)
+        assert max(found, key=lambda x: x[2] - x[1])[0] == name and max(x[3] for x in found) > 0.98
+    bsd3 = dict(licenses.NOTICES)["BSD-3-Clause"]
+    assert [x[0] for x in scanner.scan("Words.\n\n" + bsd3)] == ["BSD-3-Clause"]
+
+
+def test_many_notices_take_linear_time():
+    import time
+
+    line = "Released under the MIT License.\n"
+    start = time.perf_counter()
+    assert len(licenses.Scanner().scan(line * 20_000)) == 20_000
+    assert time.perf_counter() - start < 30
+
+
 def test_licence_rows(spark):
     rows = [(1, None), (2, ""), (None, "Released under the MIT License."), (3, "MIT"), (4, "Released under the MIT License.\nx\nLicensed under CC BY-NC 4.0.")]
     got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, license string")).collect()}
