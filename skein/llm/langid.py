@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 
 from .common import row_of, text_of
 
-#: Letters of reference text a language gets at most, and languages at most: the
-#: bounds of the sample that is fitted.  The automata of one language take some
-#: 25 MB at 60,000 letters over an alphabet of 50.
-REFERENCE_CHARS, MAX_LANGUAGES = 60_000, 64
+#: The bounds of the sample that is fitted: characters of reference text that a language gets at
+#: most, and that all get together (with many languages each gets an equal part), and languages:
+#: those with the most text.  An automaton takes some 100 bytes a letter, whatever the alphabet.
+REFERENCE_CHARS, ALL_CHARS, MAX_LANGUAGES = 60_000, 1_200_000, 256
 #: A reference document may be up to this share of its language's reference text.
 DOC_SHARE = 0.25
-#: A normalised text is parsed in stretches of this many letters, all of them.
-STRETCH = 512
+#: Long texts are worked off in stretches of this many letters side by side; results don't depend on it.
+STRETCH = 4096
+#: Characters of texts that are worked off at a time.
+PORTION = 2_000_000
 UNDETERMINED = "und"
 
 _CLASSES: np.ndarray | None = None
@@ -48,19 +50,15 @@ def normalise(text: str) -> np.ndarray:
     return points[~(blank & np.concatenate(([False], blank[:-1])))]
 
 
-class CrossParser:
-    """Suffix automata of one reference text per language, as dense transition tables."""
+#: Bits of a packed transition that hold the state it leads to.
+_STATE_BITS = np.int64(24)
 
-    def __init__(self, references: dict[str, str]):
-        self.languages = sorted(references)
-        texts = [normalise(references[x]) for x in self.languages]
-        self.alphabet = np.unique(np.concatenate(texts)) if texts else np.array([32], dtype=np.uint32)
-        self.symbols = np.zeros(0x110000, dtype=np.uint16)
-        self.symbols[self.alphabet] = np.arange(1, len(self.alphabet) + 1)
-        self.tables = [self._automaton(self.symbols[t].tolist()) for t in texts]
 
-    def _automaton(self, text: list[int]) -> np.ndarray:
-        """Transitions of the suffix automaton: state x symbol -> state, 0 for none; the start is state 1."""
+class Automaton:
+    """The suffix automaton of a text over numbered letters: transitions in one open-addressed table."""
+
+    def __init__(self, text: list[int], letters: int):
+        self.size, self.letters = len(text), letters
         moves: list[dict[int, int]] = [{}, {}]
         link, length = [0, 0], [0, 0]
         last = 1
@@ -87,51 +85,125 @@ class CrossParser:
                         moves[p][c] = copy
                         p = link[p]
             last = new
-        table = np.zeros((len(moves), len(self.alphabet) + 1), dtype=np.int32)
-        for state, out in enumerate(moves):
-            for c, to in out.items():
-                table[state, c] = to
-        return table
+        self.first = np.zeros(letters, dtype=np.int64)
+        for c, to in moves[1].items():
+            self.first[c] = to
+        n = sum(map(len, moves))
+        keys = np.fromiter((state * letters + c for state, out in enumerate(moves) for c in out), dtype=np.int64, count=n)
+        to = np.fromiter((x for out in moves for x in out.values()), dtype=np.int64, count=n)
+        bits = max(4, (5 * n // 2).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.slots = np.full(1 << bits, -1, dtype=np.int64)
+        packed, at = keys << _STATE_BITS | to, self._place(keys)
+        while len(packed):  # of those that want a free slot one gets it, the others go on to the next
+            free = self.slots[at] < 0
+            self.slots[at[free]] = packed[free]
+            left = self.slots[at] != packed
+            packed, at = packed[left], (at[left] + 1) & self.mask
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The states that letters lead to, 0 for none; the start is state 1, and 0 no letter of the text."""
+        key = state * self.letters + letter
+        at = self._place(key)
+        got = self.slots[at]
+        met = got >> _STATE_BITS
+        to = np.where(met == key, got & ((1 << _STATE_BITS) - 1), 0)
+        more = np.flatnonzero((met != key) & (got >= 0))
+        while len(more):
+            at[more] = (at[more] + 1) & self.mask
+            got = self.slots[at[more]]
+            met = got >> _STATE_BITS
+            hit = met == key[more]
+            to[more[hit]] = got[hit] & ((1 << _STATE_BITS) - 1)
+            more = more[~hit & (got >= 0)]
+        return to
+
+    def parse(self, letters: np.ndarray, start: np.ndarray, stop: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin between ``start`` and ``stop``, by lane, and where the last of them ends.
+
+        Each lane cuts off the longest piece that the automaton knows, again and
+        again; ``last`` is the end of its text.  A letter that isn't known is a
+        phrase of its own.
+        """
+        count, leave = np.zeros(len(start), dtype=np.int64), start.copy()
+        lane = np.flatnonzero(start < np.minimum(stop, last))
+        at, stop, last = start[lane], stop[lane], last[lane]
+        state, phrases = np.ones(len(lane), dtype=np.int64), np.zeros(len(lane), dtype=np.int64)
+        while len(lane):
+            letter = letters[at]
+            to = self.step(state, letter)
+            broken = np.flatnonzero(to == 0)
+            done = None
+            if len(broken):
+                phrases[broken] += state[broken] != 1
+                first = self.first[letter[broken]]
+                ends = at[broken] >= stop[broken]
+                done = broken[ends]
+                phrases[broken] += (first == 0) & ~ends
+                to[broken] = np.where(first == 0, 1, first)
+                at[done] -= 1  # these end before this letter
+                to[done] = 1
+            state = to
+            at += 1
+            over = np.flatnonzero(at >= stop)
+            if len(over):
+                ended = over[(state[over] == 1) | (at[over] >= last[over])]
+                if len(ended):
+                    phrases[ended] += state[ended] != 1
+                    count[lane[ended]], leave[lane[ended]] = phrases[ended], at[ended]
+                    stay = np.ones(len(lane), dtype=bool)
+                    stay[ended] = False
+                    lane, at, stop, last, state, phrases = (x[stay] for x in (lane, at, stop, last, state, phrases))
+        return count, leave
+
+
+class CrossParser:
+    """Suffix automata of one reference text per language."""
+
+    def __init__(self, references: dict[str, str]):
+        self.languages = sorted(references)
+        texts = [normalise(references[x]) for x in self.languages]
+        self.alphabet = np.unique(np.concatenate(texts)) if texts else np.array([32], dtype=np.uint32)
+        self.automata = [Automaton(self._letters(t).tolist(), len(self.alphabet) + 1) for t in texts]
+        #: Bits that name a place in the reference: what a phrase costs.
+        self.bits = np.array([np.log2(a.size + 1) for a in self.automata])
+
+    def _letters(self, points: np.ndarray) -> np.ndarray:
+        """Numbers of letters from 1, and 0 for those that no reference has."""
+        at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
+        return np.where(self.alphabet[at] == points, at + 1, 0)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases that each text (as of :func:`normalise`) falls into, by language.
 
-        Each stretch is cut from the left into the longest pieces that occur in
-        the reference; a letter that doesn't occur there is a phrase of its own.
-        Stretches of all texts advance side by side.
+        A text is cut from the left into the longest pieces that occur in the
+        reference.  Stretches of all texts advance side by side: each is parsed
+        from its beginning first, then again from where the stretch before it
+        ended, until none of these places changes; that is the parse of the whole.
         """
         out = np.zeros((len(texts), len(self.languages)), dtype=np.int64)
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         if not sizes.sum() or not self.languages:
             return out
-        flat = self.symbols[np.concatenate(texts)].astype(np.int64)
-        begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        letters = self._letters(np.concatenate(texts)).astype(np.int64)
+        begins = np.cumsum(sizes) - sizes
         pieces = -(-sizes // STRETCH)
         owner = np.repeat(np.arange(len(texts)), pieces)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = begins[owner] + nth * STRETCH
-        length = np.minimum(sizes[owner] - nth * STRETCH, STRETCH)
-        order = np.argsort(-length, kind="stable")
-        owner, start, length = owner[order], start[order], length[order]
-        active = np.searchsorted(-length, -np.arange(int(length[0])), side="left")  # stretches longer than i
-        for at, table in enumerate(self.tables):
-            width = table.shape[1]
-            step = table.ravel()
-            state = np.ones(len(owner), dtype=np.int64)
-            count = np.zeros(len(owner), dtype=np.int64)
-            for i, n in enumerate(active):
-                symbol = flat[start[:n] + i]
-                to = step[state[:n] * width + symbol]
-                stop = np.flatnonzero(to == 0)
-                if len(stop):
-                    first = step[width + symbol[stop]]
-                    unknown = first == 0
-                    # the phrase so far ends (there is none at the start); an unknown letter is one more
-                    count[stop] += (state[stop] != 1).astype(np.int64) + unknown
-                    to[stop] = np.where(unknown, 1, first)
-                state[:n] = to
-            count += state != 1
-            np.add.at(out[:, at], owner, count)
+        begin = begins[owner] + nth * STRETCH
+        last = (begins + sizes)[owner]
+        stop = np.minimum(begin + STRETCH, last)
+        follows = np.flatnonzero(nth > 0)
+        for i, automaton in enumerate(self.automata):
+            entry = begin.copy()
+            count, leave = automaton.parse(letters, entry, stop, last)
+            while len(moved := follows[entry[follows] != leave[follows - 1]]):
+                entry[moved] = leave[moved - 1]
+                count[moved], leave[moved] = automaton.parse(letters, entry[moved], stop[moved], last[moved])
+            np.add.at(out[:, i], owner, count)
         return out
 
 
@@ -149,32 +221,39 @@ def fit(
 ) -> dict[str, str]:
     """Reference text by language, from rows with a label that are not held out.
 
-    Held out are rows whose ``crc32(doc_id) mod 5`` is 0.  Of each language the
-    documents are taken whole, in an order drawn by hash, until ``chars``
-    characters are reached; documents over ``DOC_SHARE`` of that are passed
-    over unless the language has no other.  What comes to the driver is bounded
-    by ``MAX_LANGUAGES * chars``; more languages are refused.
+    Held out are rows whose ``crc32(doc_id) mod 5`` is 0.  Languages are the
+    ``MAX_LANGUAGES`` labels with the most text; further labels, of which a dirty
+    column may have any number, are not learned.  Of each language the documents
+    are taken whole, in an order drawn by hash, until ``chars`` characters are
+    reached (fewer where many languages share ``ALL_CHARS``); documents over
+    ``DOC_SHARE`` of that are passed over unless the language has no other, whose
+    shortest then stands in with its first ``chars`` characters.
     """
     body = text_of(docs, text)
     rows = docs.filter(docs[lang].isNotNull() & ~held_out(docs[doc_id])).select(
         docs[lang].cast("string").alias("lang"), body.alias("text"), F.length(body).alias("n"), docs[doc_id].alias("doc_id")
     )
     rows = rows.filter("n > 0").withColumn("draw", F.xxhash64(F.col("doc_id").cast("string"), F.xxhash64("text")))
-    short = F.col("n") <= int(chars * DOC_SHARE)
-    known = rows.groupBy("lang").agg(F.sum(F.when(short, F.col("n"))).alias("total"), F.min("n").alias("least")).limit(MAX_LANGUAGES + 1).collect()
-    if len(known) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
-    if not known:
+    sizes = rows.groupBy("lang").agg(F.sum("n").alias("all"), F.min(F.struct("n", "draw")).alias("least"))
+    known = sizes.orderBy(F.desc("all"), "lang").limit(MAX_LANGUAGES)
+    names = known.collect()
+    if not names:
         return {}
+    chars = min(chars, ALL_CHARS // len(names))
+    limit = int(chars * DOC_SHARE)
+    known = F.broadcast(known.sparkSession.createDataFrame([(r["lang"], r["least"]["n"], r["least"]["draw"]) for r in names], "lang string, least_n int, least_draw long"))
+    rows = rows.join(known, "lang")
+    short = rows.filter(F.col("n") <= limit)
+    totals = {r["lang"]: r["total"] for r in short.groupBy("lang").agg(F.sum("n").alias("total")).collect()}
     # by hash, about four times what is needed of each language comes to the windows below
-    pick = F.lit(False)
-    for r in known:
-        fits = short if r["total"] else F.col("n") == r["least"]
-        part = min(1.0, 4 * chars / max(1, r["total"] or 1))
-        pick = pick | ((F.col("lang") == r["lang"]) & fits & (F.pmod("draw", F.lit(1 << 30)) < int(part * (1 << 30))))
-    order = [F.col("draw"), F.col("doc_id"), F.col("text")]
-    running = F.sum("n").over(Window.partitionBy("lang").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    sample = rows.filter(pick).withColumn("running", running).filter((F.col("running") <= chars) | (F.col("running") == F.col("n")))
+    parts = [(r["lang"], int(min(1.0, 4 * chars / totals[r["lang"]]) * (1 << 30)) if r["lang"] in totals else None) for r in names]
+    parts = F.broadcast(known.sparkSession.createDataFrame(parts, "lang string, part long"))
+    alone = F.col("part").isNull() & (F.col("n") == F.col("least_n")) & (F.col("draw") == F.col("least_draw"))
+    pick = alone | ((F.col("n") <= limit) & (F.pmod("draw", F.lit(1 << 30)) < F.col("part")))
+    sample = rows.join(parts, "lang").filter(pick).select("lang", "draw", F.substring("text", 1, chars).alias("text"))
+    sample = sample.dropDuplicates(["lang", "draw"]).withColumn("n", F.length("text"))
+    running = F.sum("n").over(Window.partitionBy("lang").orderBy("draw", "text").rowsBetween(Window.unboundedPreceding, 0))
+    sample = sample.withColumn("running", running).filter((F.col("running") <= chars) | (F.col("running") == F.col("n")))
     found: dict[str, list] = {}
     for r in sample.select("lang", "text", "draw").collect():
         found.setdefault(r["lang"], []).append((r["draw"], r["text"]))
@@ -189,10 +268,12 @@ def held_out(doc_id) -> F.Column:
 def identify(docs: DataFrame, references: dict[str, str], text: str = "text") -> F.Column:
     """A column of ``lang_pred, score, n_letters, n_phrases`` for every row of ``docs``.
 
-    The language whose reference needs the fewest phrases for the whole text
-    wins, ties going to the first by name.  ``score`` is the share of the second
-    best's phrases in those of the best two: 0.5 for a tie, near 1 for a clear
-    case, 1 if there is one language only.  Null texts, texts without a letter
+    The language that needs the fewest normalised phrases for the whole text wins,
+    ties going to the first by name: a phrase names a place in the reference, so
+    phrases count with the logarithm of its size, and a language with little
+    reference text is neither favoured nor put back.  ``score`` is the share of
+    the second best's count in those of the best two: 0.5 for a tie, near 1 for a
+    clear case, 1 if there is one language only.  ``n_phrases`` are as they stand.  Null texts, texts without a letter
     and, if nothing was learned, all texts are ``und`` with score 0.
     """
     sent = docs.sparkSession.sparkContext.broadcast(tuple(sorted(references.items())))
@@ -202,9 +283,9 @@ def identify(docs: DataFrame, references: dict[str, str], text: str = "text") ->
         parser = _parser(sent.value)
         for series in batches:
             texts, pieces, start = series.tolist(), [], 0
-            while start < len(texts):  # in portions of about 2 million characters
+            while start < len(texts):
                 end, size = start, 0
-                while end < len(texts) and (end == start or size + len(texts[end]) <= 2_000_000):
+                while end < len(texts) and (end == start or size + len(texts[end]) <= PORTION):
                     size += len(texts[end])
                     end += 1
                 pieces.append(_decide(parser, texts[start:end]))
@@ -221,10 +302,11 @@ def _decide(parser: CrossParser, texts: list[str]) -> pd.DataFrame:
     n = len(parser.languages)
     if not n:
         return pd.DataFrame({"lang_pred": [UNDETERMINED] * len(texts), "score": 0.0, "n_letters": letters, "n_phrases": 0})
-    best = counts.argmin(axis=1) if len(texts) else np.zeros(0, dtype=int)
-    least = np.take_along_axis(counts, best[:, None], axis=1)[:, 0]
-    second = np.partition(counts, 1, axis=1)[:, 1] if n > 1 else np.zeros(len(texts))
-    score = second / np.maximum(1, second + least) if n > 1 else np.ones(len(texts))
+    costs = counts * parser.bits
+    best = costs.argmin(axis=1) if len(texts) else np.zeros(0, dtype=int)
+    least = np.take_along_axis(costs, best[:, None], axis=1)[:, 0]
+    second = np.partition(costs, 1, axis=1)[:, 1] if n > 1 else np.zeros(len(texts))
+    score = second / np.maximum(1e-9, second + least) if n > 1 else np.ones(len(texts))
     names = np.array(parser.languages, dtype=object)[best]
     none = letters == 0
     return pd.DataFrame(
@@ -232,7 +314,7 @@ def _decide(parser: CrossParser, texts: list[str]) -> pd.DataFrame:
             "lang_pred": np.where(none, UNDETERMINED, names),
             "score": np.where(none, 0.0, score),
             "n_letters": letters,
-            "n_phrases": least,
+            "n_phrases": np.take_along_axis(counts, best[:, None], axis=1)[:, 0],
         }
     )
 

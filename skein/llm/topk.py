@@ -9,12 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, parts
 
 #: Candidates of a tile and queries of a tile: a score matrix of 2048 x 1024 doubles takes 16 MB.
 TILE_ROWS, TILE_QUERIES = 2048, 1024
-#: Queries that are broadcast at once; further ones take further passes.
-QUERY_BLOCK = 16384
+#: Bytes of vectors, as doubles, that one side of a cell of the grid takes.
+TILE_BYTES = 32 << 20
 #: Lists merged at each level of the tree.
 FAN_IN = 8
 _LONG = 1 << 63
@@ -34,64 +34,88 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.array([[min(max(v, -_LONG), _LONG - 1) for v in row] for row in out], dtype=np.int64).reshape(len(q), len(x))
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, known: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """The k highest of each row, ties to the smaller id, unknown ids last.
-
-    Columns have to be in order of (known first, id).
-    """
+def _best(scores: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest of each row and their places, of equal ones the first; ``at`` numbers the columns."""
     k = min(k, scores.shape[1])
     if scores.shape[1] > k:
         least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k, None]
         above, level = scores > least, scores == least
         room = k - above.sum(axis=1, keepdims=True)
         taken = above | (level & (np.cumsum(level, axis=1) <= room))
-        at = np.nonzero(taken)[1].reshape(len(scores), k)
+        found = np.nonzero(taken)[1].reshape(len(scores), k)
     else:
-        at = np.tile(np.arange(scores.shape[1]), (len(scores), 1))
-    got = np.take_along_axis(scores, at, axis=1)
+        found = np.tile(np.arange(scores.shape[1]), (len(scores), 1))
+    got = np.take_along_axis(scores, found, axis=1)
     order = np.argsort(~got, axis=1, kind="stable")  # ~ turns the order of longs round without overflow
-    at = np.take_along_axis(at, order, axis=1)
-    return np.take_along_axis(got, order, axis=1), ids[at], known[at]
-
+    return np.take_along_axis(got, order, axis=1), at[np.take_along_axis(found, order, axis=1)]
 
-def _in_order(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
-    return np.lexsort((ids, ~known))
 
+def _merged(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
+    """The best k of two lists a row."""
+    scores, at = (np.concatenate([a, b], axis=1) for a, b in zip(one, two, strict=True))
+    order = np.lexsort((at, ~scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, axis=1), np.take_along_axis(at, order, axis=1)
 
-def _partial(batches: Iterator[pd.DataFrame], blocks, k: int) -> Iterator[pd.DataFrame]:
-    """Best k of this task's rows for each query of the broadcast block, by dimension."""
-    numbers, queries = blocks.value
-    held: dict[int, list[tuple[np.ndarray, ...]]] = {}
-
-    def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-        """Of several lists a query, the best k; a row's entries are put in id order first."""
-        if len(parts) == 1:
-            return parts[0]
-        scores, ids, known = (np.concatenate([p[i] for p in parts], axis=1) for i in range(3))
-        order = np.lexsort((ids, ~known, ~scores), axis=1)  # ~ turns the order of longs round without overflow
-        return tuple(np.take_along_axis(a, order[:, :k], axis=1) for a in (scores, ids, known))
 
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Vectors as bytes, of single precision where that holds them exactly."""
     for pdf in batches:
-        known = pdf["vec_id"].notna().to_numpy()
-        ids = pdf["vec_id"].fillna(0).astype("int64").to_numpy() if known.all() else np.array([0 if v is None or v != v else int(v) for v in pdf["vec_id"]], dtype=np.int64)
-        widths = pdf["q"].map(len).to_numpy()
-        for width in np.unique(widths):
-            if int(width) not in queries:
-                continue
-            rows = np.nonzero(widths == width)[0]
-            rows = rows[_in_order(ids[rows], known[rows])]
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["q"].iloc[rows]]) if width else np.zeros((len(rows), 0))
-            for start in range(0, len(rows), TILE_ROWS):
-                part = slice(start, start + TILE_ROWS)
-                q = queries[int(width)]
-                tiles = [_best(_scores(q[i : i + TILE_QUERIES], x[part]), ids[rows][part], known[rows][part], k) for i in range(0, len(q), TILE_QUERIES)]
-                found = tuple(np.concatenate(a) for a in zip(*tiles, strict=True))
-                held[int(width)] = [merged([*held.get(int(width), []), found])]
-    for width, ((scores, ids, known),) in held.items():
-        n = scores.shape[1]
-        frame = pd.DataFrame({"query": np.repeat(numbers[width], n), "score": scores.ravel(), "vec_id": pd.array(ids.ravel(), dtype="Int64")})
-        frame.loc[~known.ravel(), "vec_id"] = pd.NA
-        yield frame
+        packed = []
+        for v in pdf["q"]:
+            wide = np.asarray(v, dtype=np.float64)
+            with np.errstate(over="ignore"):
+                narrow = wide.astype(np.float32)
+            packed.append((len(wide), (narrow if (narrow == wide).all() else wide).tobytes()))
+        out = pdf[["uid", "vec_id"]].copy()
+        out["width"], out["q"] = [w for w, _ in packed], [b for _, b in packed]
+        yield out
+
+
+def _matrix(packed: pd.Series, width: int) -> np.ndarray:
+    if not width:
+        return np.zeros((len(packed), 0))
+    return np.stack([np.frombuffer(b, dtype=np.float32 if len(b) == 4 * width else np.float64) for b in packed]).astype(np.float64)
+
+
+def _cell(asked: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Best k of a shard's rows, their own left out, for each query of a block."""
+    out = []
+    empty = pd.DataFrame({c: pd.Series(dtype="Int64") for c in ("query", "query_id", "score", "vec_id")})
+    if asked.empty or rows.empty:
+        return empty
+    for width in sorted(set(asked["width"]) & set(rows["width"])):
+        a, x = asked[asked["width"] == width], rows[rows["width"] == width]
+        known = x["vec_id"].notna().to_numpy()
+        ids = x["vec_id"].astype("Int64").fillna(0).to_numpy(dtype=np.int64)
+        order = np.lexsort((ids, ~known))
+        ids, known, uid = ids[order], known[order], x["uid"].to_numpy()[order]
+        q, m = _matrix(a["q"], width), _matrix(x["q"].iloc[order], width)
+        queries, names = a["uid"].to_numpy(), a["vec_id"].to_numpy(dtype=np.int64)
+        for i in range(0, len(q), TILE_QUERIES):
+            held = None
+            for j in range(0, len(m), TILE_ROWS):
+                part = slice(j, j + TILE_ROWS)
+                at = np.arange(len(m))[part]
+                found = _best(_scores(q[i : i + TILE_QUERIES], m[part]), at, k + 1)
+                held = found if held is None else _merged(held, found, k + 1)
+            scores, at = held
+            own = uid[at] == queries[i : i + TILE_QUERIES, None]
+            out.append(
+                pd.DataFrame(
+                    {
+                        "query": np.repeat(queries[i : i + TILE_QUERIES], at.shape[1]),
+                        "query_id": np.repeat(names[i : i + TILE_QUERIES], at.shape[1]),
+                        "score": scores.ravel(),
+                        "vec_id": pd.array(ids[at].ravel(), dtype="Int64"),
+                        "known": known[at].ravel(),
+                    }
+                )[~own.ravel()]
+            )
+    if not out:
+        return empty
+    made = pd.concat(out, ignore_index=True)
+    made.loc[~made["known"], "vec_id"] = pd.NA
+    return made.drop(columns="known")
 
 
 def top_k(
@@ -101,7 +125,6 @@ def top_k(
     scale: int = 256,
     vec_id: str = "vec_id",
     embedding: str = "embedding",
-    query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """The k highest integer inner products of each query: ``query_id, rank, vec_id, score``.
 
@@ -113,69 +136,49 @@ def top_k(
     answers for itself and sees its copies.  Without queries, or with one row
     only, there are no rows.
 
-    Queries go out in blocks of ``query_block`` vectors, the only data broadcast.
-    For each block every task multiplies tiles of queries by tiles of its own
-    rows, selects k + 1 of each tile and keeps one running list a query; lists
-    then merge in a tree of ``FAN_IN``, so no task takes in all of them.  A list
-    is one entry too long because the own row is among the candidates: one entry
-    with the query's id and its product with itself is left out at the end, which
-    is the own row or one that can't be told from it.
+    Queries are dealt into blocks and all rows into shards of up to
+    ``TILE_BYTES`` each; every block meets every shard in one task of the grid,
+    which multiplies tiles, selects k + 1 of each and leaves out the query's own
+    row.  Nothing is broadcast or passes through the driver.  The shards' lists
+    then merge in a tree of ``FAN_IN``, so no task takes in all of them.
     """
-    spark = vectors.sparkSession
     value = vectors[embedding].cast("array<double>")
     fit = vectors.select(vectors[vec_id].cast("long").alias("vec_id"), value.alias("v")).filter(
         "v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
     )
     # doubles beyond 2**52 are whole as they are, and a long could not hold the largest
-    whole = F.expr(f"transform(v, x -> if(abs(x * {scale}D) < 9e15D, cast(floor(x * {scale}D) as double), x * {scale}D))")
-    fit = fit.select("vec_id", whole.alias("q"))
-    asked = fit.filter(F.col("vec_id") % every == 0)
-
-    results: list[DataFrame] = []
-    block: list[tuple[int, list[float]]] = []
-    number = 0
-
-    def search(block: list[tuple[int, list[float]]], base: int) -> DataFrame:
-        by_width: dict[int, list[int]] = {}
-        for i, (_, v) in enumerate(block):
-            by_width.setdefault(len(v), []).append(i)
-        numbers = {w: np.array(at, dtype=np.int64) + base for w, at in by_width.items()}
-        packed = {w: np.array([block[i][1] for i in at], dtype=np.float64).reshape(len(at), w) for w, at in by_width.items()}
-        own = pd.DataFrame(
-            {
-                "query": [base + i for i in range(len(block))],
-                "query_id": [b[0] for b in block],
-                "own": [int(min(max(sum(int(x) * int(x) for x in b[1]), -_LONG), _LONG - 1)) for b in block],
-            }
-        )
-        sent = spark.sparkContext.broadcast((numbers, packed))
-        lists = fit.mapInPandas(lambda it: _partial(it, sent, k + 1), "query long, score long, vec_id long")
-        lists = lists.withColumn("run", F.spark_partition_id())
-        n = fit.rdd.getNumPartitions()
-        order = [F.col("score").desc(), F.col("vec_id").asc_nulls_last()]
-        while True:
-            n = -(-n // FAN_IN)
-            lists = lists.withColumn("run", F.floor(F.col("run") / FAN_IN).cast("int"))
-            best = Window.partitionBy("query", "run").orderBy(*order)
-            lists = lists.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1)
-            if n <= 1:
-                break
-        named = lists.join(F.broadcast(spark.createDataFrame(own, "query long, query_id long, own long")), "query")
-        is_own = (F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own"))
-        first_own = F.min(F.when(is_own, F.col("place"))).over(Window.partitionBy("query"))
-        named = named.withColumn("first_own", first_own).filter("first_own is null or place <> first_own")
-        rank = F.when(F.col("place") > F.col("first_own"), F.col("place") - 1).otherwise(F.col("place"))
-        named = named.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k)
-        return named.select("query_id", "rank", "vec_id", "score")
-
-    for row in asked.toLocalIterator():
-        block.append((row["vec_id"], row["q"]))
-        if len(block) == query_block:
-            results.append(materialise(search(block, number), "top-k"))
-            number, block = number + len(block), []
-    if block or not results:
-        results.append(search(block, number))
-    out = results[0]
-    for other in results[1:]:
-        out = out.unionByName(other)
-    return out
+    most = "1.7976931348623157E308D"
+    whole = F.expr(
+        f"transform(v, x -> if(abs(x * {scale}D) < 9e15D, cast(floor(x * {scale}D) as double), greatest(least(x * {scale}D, {most}), -{most})))"
+    )
+    fit = fit.select(F.monotonically_increasing_id().alias("uid"), "vec_id", whole.alias("q"))
+    fit = materialise(fit.mapInPandas(_packed, "uid long, vec_id long, width int, q binary"), "vectors")
+    is_query = F.col("vec_id") % every == 0
+    n, asked, width = fit.agg(F.count("*"), F.count_if(is_query), F.coalesce(F.max("width"), F.lit(0))).first()
+    room = max(1, TILE_BYTES // (8 * max(1, width)))
+    blocks = max(1, -(-asked // room))
+    # shards for all cores, but not so many that queries are copied more often than there are rows
+    shards = max(1, -(-n // room), min(parts(vectors), n // max(1, asked)))
+
+    def dealt(rows: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        rows = rows.withColumn(own, F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    left = dealt(fit.filter(is_query), "block", blocks, "shard", shards).groupBy("block", "shard")
+    # columns of its own for the other side of one table
+    fit = fit.select(*[F.col(c).alias(c) for c in fit.columns])
+    right = dealt(fit, "shard", shards, "block", blocks).groupBy("block", "shard")
+
+    def cell(key: tuple, a: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        return _cell(a, x, k).assign(run=key[1])
+
+    lists = left.cogroup(right).applyInPandas(cell, "query long, query_id long, score long, vec_id long, run int")
+    order = [F.col("score").desc(), F.col("vec_id").asc_nulls_last()]
+    n = shards
+    while True:
+        n = -(-n // FAN_IN)
+        lists = lists.withColumn("run", F.floor(F.col("run") / FAN_IN).cast("int"))
+        best = Window.partitionBy("query", "run").orderBy(*order)
+        lists = lists.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        if n <= 1:
+            return lists.select("query_id", "rank", "vec_id", "score")

@@ -14,7 +14,7 @@ def test_query_equals_sql(spark, sf_dir):
 
 
 def brute(rows, k=5, every=50):
-    fit = [(i, [float(np.floor(256 * x)) if abs(x) < 1e12 else 256 * x for x in v]) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    fit = [(i, [float(np.floor(256 * x)) if abs(x) < 1e12 else max(min(256 * x, 1.7976931348623157e308), -1.7976931348623157e308) for x in v]) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for a, (i, q) in enumerate(fit):
         if i is None or i % every:
@@ -33,17 +33,18 @@ def run(spark, rows, **options):
     return sorted(((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df.repartition(3), **options).collect()), key=repr)
 
 
-def test_top_k_edges(spark):
+def test_top_k_edges(spark, monkeypatch):
     r = random.Random(3)
     rows = [(i, [r.choice([-1.0, -0.5, 0.0, 0.25, 0.5, 1.0]) for _ in range(4)]) for i in range(0, 300, 5)]
     rows += [(50, [1.0, 0.0, 0.0, 0.0]), (50, [1.0, 0.0, 0.0, 0.0]), (0, rows[0][1]), (None, [1.0, 1.0, 1.0, 1.0]), (100, None), (150, [1.0, None, 0.0, 0.0])]
     rows += [(200, [float("nan"), 0.0, 0.0, 0.0]), (250, [float("inf"), 0.0, 0.0, 0.0]), (400, [1.0, 2.0]), (-50, [0.1] * 4), (7, []), (450, [])]
     assert run(spark, rows) == brute(rows)
-    assert run(spark, rows, query_block=2) == brute(rows)
+    monkeypatch.setattr(topk, "TILE_BYTES", 64)
+    assert run(spark, rows) == brute(rows)
 
 
 def test_top_k_of_huge_components(spark):
-    rows = [(0, [1e10, -1e10]), (50, [3e9, 1.0]), (3, [1e300, 1.0]), (4, [-1e300, 1.0]), (5, [2.5, 2.5])]
+    rows = [(0, [1e10, -1e10]), (50, [3e9, 1.0]), (3, [1e300, 1.0]), (4, [-1e300, 1.0]), (5, [2.5, 2.5]), (100, [1.7e308, -1.7e308])]
     assert run(spark, rows) == brute(rows)
 
 
@@ -64,18 +65,38 @@ def naive_phrases(text, reference):
     return count
 
 
-def test_phrases_equal_brute_force():
+@pytest.mark.parametrize("stretch", [7, 64, 4096])
+def test_phrases_equal_brute_force(monkeypatch, stretch):
+    monkeypatch.setattr(langid, "STRETCH", stretch)
     r = random.Random(1)
     refs = {"x": "".join(r.choice("ab c") for _ in range(400)), "y": "".join(r.choice("bcd ") for _ in range(300))}
     parser = langid.CrossParser(refs)
     plain = {k: "".join(map(chr, langid.normalise(v))) for k, v in refs.items()}
     texts = ["".join(r.choice("abcde ") for _ in range(r.randint(0, 300))) for _ in range(80)]
+    texts += ["a" * 250, "ab" * 120, refs["x"][30:300], refs["x"] + refs["y"]]
     forms = [langid.normalise(t) for t in texts]
     counts = parser.phrases(forms)
     for form, row in zip(forms, counts, strict=True):
         text = "".join(map(chr, form))
-        parts = [text[i : i + langid.STRETCH] for i in range(0, len(text), langid.STRETCH)]
-        assert row.tolist() == [sum(naive_phrases(p, plain[k]) for p in parts) for k in ("x", "y")]
+        assert row.tolist() == [naive_phrases(text, plain[k]) for k in ("x", "y")]
+
+
+def test_automata_of_large_alphabets_are_small():
+    r = random.Random(6)
+    texts = {k: "".join(chr(r.randint(0x4E00, 0x64AB)) for _ in range(60_000)) for k in ("ja", "zh")}
+    parser = langid.CrossParser(texts)
+    assert sum(a.slots.nbytes + a.first.nbytes for a in parser.automata) < 30_000_000
+    pieces = [langid.normalise(texts["zh"][i : i + 50]) for i in range(0, 5000, 50)]
+    counts = parser.phrases(pieces)
+    assert (counts[:, 1] <= 3).all() and (counts[:, 0] > 20).all()
+
+
+def test_languages_with_little_text_compete_fairly(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    refs = langid.fit(docs)
+    refs = {k: v if k == "en" else v[:6000] for k, v in refs.items()}
+    rows = docs.select("lang", langid.identify(docs, refs).alias("f")).filter("f.n_letters >= 200").select("lang", "f.lang_pred").collect()
+    assert sum(x.lang == x.lang_pred for x in rows) / len(rows) >= 0.99
 
 
 def test_held_out_accuracy(spark):
@@ -120,7 +141,11 @@ def test_random_letters_are_rejected(spark):
     assert 10**6 not in kept and len(kept) == df.count()
 
 
-def test_too_many_languages(spark):
-    df = spark.createDataFrame([(i, "some words", f"l{i}") for i in range(200)], "doc_id long, text string, lang string")
-    with pytest.raises(ValueError):
-        langid.fit(df)
+def test_any_number_of_labels(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 20)
+    monkeypatch.setattr(langid, "ALL_CHARS", 4000)
+    rows = [(i, "some words of it " * 3, f"l{i}") for i in range(200)] + [(200 + i, "the cat and the dog sat " * 20, "en") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    refs = langid.fit(df)
+    assert len(refs) == 20 and "en" in refs and all(len(v) <= 4000 // 20 + 20 for v in refs.values())
+    assert langid.language_id(df).filter("doc_id >= 200 and lang_pred = 'en'").count() == 30
