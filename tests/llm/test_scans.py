@@ -105,11 +105,26 @@ def test_secret_base_equals_the_patterns():
 
 def test_network_on_unseen_findings():
     net = secrets.trained()
-    found, labels = secrets.labelled_findings(1500, seed=77)
+    found, labels = secrets.labelled_findings(2000, seed=77)
     p = net.probability(secrets.encode(found))
-    assert (p[labels == 1] >= net.threshold).mean() >= 0.9
-    assert (p[labels == 0] >= max(net.threshold, 0.5)).mean() <= 0.02
+    assert (p[labels == 1] >= net.threshold).mean() >= 0.93 and net.recall >= 0.93
+    assert (p[labels == 0] >= net.threshold).mean() <= 0.02 and net.false_alarms <= 0.02
     assert abs(p.mean() - labels.mean()) < 0.05  # calibrated
+    # forms that the generator doesn't draw
+    hard = [("see mysql://root:", "Hunter2Wombat99", "@db.internal/prod"), ("db_pwd: ", "Summer2024Winter99", "\n"), ('"clientSecret" => "', "Zq8v1LkP0sW7nT4yXc9Rb2", '"')]
+    assert (net.probability(secrets.encode(hard)) >= net.threshold).all()
+
+
+def test_network_finds_masked_seeds_of_documents(spark):
+    """Assigned secrets of the documents, with the words that the fixed pattern goes by taken away."""
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("text rlike '(?i)token|secret|password'")
+    found = []
+    for (t,) in df.select("text").collect():
+        for m in secrets._ASSIGN.finditer(t):
+            if len(m[2]) >= 12:
+                found.append((t[: m.start()] + "value" + t[m.end(1) : m.start(2)], m[2], t[m.end() :]))
+    net = secrets.trained()
+    assert len(found) > 100 and (net.probability(secrets.encode(found)) >= net.threshold).mean() >= 0.9
 
 
 def test_secret_rows(spark):
