@@ -188,18 +188,21 @@ def thread(
         left = left.select("uid", F.struct("place", "line", F.concat(marker, "shown").alias("shown")).alias("part")).groupBy("uid")
         left = left.agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["shown"]), "\n").alias("kept"))
         left = links.select("uid").distinct().join(left, "uid", "left").select("uid", F.trim(F.coalesce("kept", F.lit(""))).alias("kept"))
-        tops = roots.join(base.select(F.col("uid").alias("root"), F.col("turn").alias("root_turn")), "root")
+        tops = keys.select(F.col("uid").alias("root"), *[F.col(c).alias(f"root_{c}") for c in ("turn", "role", "draw")])
+        tops = roots.join(tops, "root")
         keys = keys.join(parents, "uid", "left").join(tops, "uid", "left")
         texts = base.select("uid", "text").join(left, "uid", "left").select("uid", F.coalesce("kept", "text").alias("text"))
     else:
         nothing = F.lit(None).cast("long")
-        keys = keys.select("*", nothing.alias("parent"), nothing.alias("n_quotes"), nothing.alias("root"), nothing.alias("root_turn"))
+        named = [nothing.alias(c) for c in ("parent", "n_quotes", "root", "root_turn", "root_draw")]
+        keys = keys.select("*", *named, F.lit(None).cast("string").alias("root_role"))
         texts = base.select("uid", "text")
-    keys = keys.withColumn("thread_turn", F.when(F.col("root").isNull(), F.col("turn")).otherwise(F.col("root_turn")))
+    for c in ("turn", "role", "draw"):
+        keys = keys.withColumn(f"thread_{c}", F.when(F.col("root").isNull(), F.col(c)).otherwise(F.col(f"root_{c}")))
     keys = keys.withColumn("thread", F.coalesce("root", "uid"))
     # a thread's root before its replies even where turns repeat; equal messages by their place in the table
     keys = keys.withColumn("reply", F.col("root").isNotNull())
-    placed = ranked(keys, ["conv_id"], ["thread_turn", "thread", "reply", "turn", "role", "draw", "uid"], "chat-order")
+    placed = ranked(keys, ["conv_id"], ["thread_turn", "thread_role", "thread_draw", "thread", "reply", "turn", "role", "draw", "uid"], "chat-order")
     spots = base.select(F.col("uid").alias("parent"), F.col("turn").alias("reply_to"))
     placed = placed.join(spots, "parent", "left")
     return placed.join(texts, "uid").select(

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import materialise, release, run_tables, text_of
 from .spans import Span, digest, joined
 
 KINDS = ("email", "ip", "card", "phone")
@@ -130,11 +130,11 @@ def _near(text: str, at: int, way: int, n: int) -> list[str]:
 
 
 def _patterns(text: str, start: int, end: int) -> list[str]:
-    """The lexical contexts that an identifier stands in: what precedes it, and what is around it."""
-    left, right = _near(text, start, -1, 2), _near(text, end, 1, 1)
-    left = ["^"] * (2 - len(left)) + [_key(x) for x in left]
+    """The lexical contexts that an identifier stands in: what precedes it, nearly and further, and what is around it."""
+    left, right = _near(text, start, -1, 3), _near(text, end, 1, 1)
+    left = ["^"] * (3 - len(left)) + [_key(x) for x in left]
     right = [_key(x) for x in right] or ["$"]
-    return [f"{left[0]} {left[1]} _", f"{left[1]} _ {right[0]}"]
+    return [f"{left[1]} {left[2]} _", f"{' '.join(left)} _", f"{left[2]} _ {right[0]}"]
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,42 +159,68 @@ def _learn(found: DataFrame, rounds: int, support: int, trust: float, accept: fl
     ``accept`` support a pattern as seeds do.  Scores never fall from round to
     round, so rounds go on while they discover something new, ``rounds`` at least.
     """
-    edges = (
-        found.select("token", "kind", F.explode("patterns").alias("pattern"))
-        .groupBy("pattern", "token")
-        .agg(*[F.max((F.col("kind") == k).cast("double")).alias(f"seed_{k}") for k in KINDS])
-    )
-    seeds = found.groupBy("token").agg(*[F.coalesce(F.max((F.col("kind") == k).cast("double")), F.lit(0.0)).alias(f"seed_{k}") for k in KINDS])
-    edges = materialise(edges.select("pattern", "token").join(seeds, "token"), "pii-edges")
-    is_seed = F.greatest(*[F.col(f"seed_{k}") for k in KINDS]) > 0
-    accepted = F.greatest(*[F.col(f"conf_{k}") for k in KINDS]) >= accept
-    scores, known, new, done = None, 0, 0, 0
-    while done < rounds or new:
-        now = edges if scores is None else edges.join(scores, "token", "left")
-        conf = {k: F.col(f"seed_{k}") if scores is None else F.when(is_seed, F.col(f"seed_{k}")).otherwise(F.coalesce(f"conf_{k}", F.lit(0.0))) for k in KINDS}
-        ranked = now.groupBy("pattern").agg(
-            F.count("*").alias("n"),
-            F.count_if(is_seed if scores is None else is_seed | F.coalesce(accepted, F.lit(False))).alias("known"),
-            *[F.sum(conf[k]).alias(f"sum_{k}") for k in KINDS],
-        )
-        ranked = ranked.filter(F.col("known") >= support).select(
-            "pattern", *[(F.col(f"sum_{k}") / (F.col("n") + 1)).alias(f"pat_{k}") for k in KINDS]
+    with run_tables() as tables:
+        edges = (
+            found.select("token", "kind", F.explode("patterns").alias("pattern"))
+            .groupBy("pattern", "token")
+            .agg(*[F.max((F.col("kind") == k).cast("double")).alias(f"seed_{k}") for k in KINDS])
         )
-        ranked = materialise(ranked.filter(F.greatest(*[F.col(f"pat_{k}") for k in KINDS]) >= trust), "pii-patterns")
-        miss = {k: F.when(F.col(f"pat_{k}") >= trust, F.log1p(-F.least(f"pat_{k}", F.lit(0.999)))).otherwise(F.lit(0.0)) for k in KINDS}
-        scores = (
-            edges.filter(~is_seed)
-            .join(ranked, "pattern")
-            .groupBy("token")
-            .agg(*[(1 - F.exp(F.sum(miss[k]))).alias(f"conf_{k}") for k in KINDS])
-        )
-        scores = materialise(scores, "pii-scores")
-        now_known = scores.filter(accepted).count()
-        known, new, done = now_known, now_known - known, done + 1
+        seeds = found.groupBy("token").agg(*[F.coalesce(F.max((F.col("kind") == k).cast("double")), F.lit(0.0)).alias(f"seed_{k}") for k in KINDS])
+        edges = materialise(edges.select("pattern", "token").join(seeds, "token"), "pii-edges")
+        is_seed = F.greatest(*[F.col(f"seed_{k}") for k in KINDS]) > 0
+        accepted = F.greatest(*[F.col(f"conf_{k}") for k in KINDS]) >= accept
+        scores, known, new, done = None, 0, 0, 0
+        while done < rounds or new:
+            now = edges if scores is None else edges.join(scores, "token", "left")
+            conf = {k: F.col(f"seed_{k}") if scores is None else F.when(is_seed, F.col(f"seed_{k}")).otherwise(F.coalesce(f"conf_{k}", F.lit(0.0))) for k in KINDS}
+            ranked = now.groupBy("pattern").agg(
+                F.count("*").alias("n"),
+                F.count_if(is_seed if scores is None else is_seed | F.coalesce(accepted, F.lit(False))).alias("known"),
+                *[F.sum(conf[k]).alias(f"sum_{k}") for k in KINDS],
+            )
+            ranked = ranked.filter(F.col("known") >= support).select(
+                "pattern", *[(F.col(f"sum_{k}") / (F.col("n") + 1)).alias(f"pat_{k}") for k in KINDS]
+            )
+            ranked = materialise(ranked.filter(F.greatest(*[F.col(f"pat_{k}") for k in KINDS]) >= trust), "pii-patterns")
+            miss = {k: F.when(F.col(f"pat_{k}") >= trust, F.log1p(-F.least(f"pat_{k}", F.lit(0.999)))).otherwise(F.lit(0.0)) for k in KINDS}
+            scores = (
+                edges.filter(~is_seed)
+                .join(ranked, "pattern")
+                .groupBy("token")
+                .agg(*[(1 - F.exp(F.sum(miss[k]))).alias(f"conf_{k}") for k in KINDS])
+            )
+            scores = materialise(scores, "pii-scores")
+            now_known = scores.filter(accepted).count()
+            known, new, done = now_known, now_known - known, done + 1
+        release(found.sparkSession, tables, keep=1)  # all but the last scores
     best = F.array_max(F.array(*[F.struct(F.col(f"conf_{k}").alias("conf"), F.lit(-i).alias("place"), F.lit(k).alias("kind")) for i, k in enumerate(KINDS)]))
     return scores.select("token", best.alias("best")).filter(F.col("best.conf") >= accept).select("token", "best.kind")
 
 
+def _scanned(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """``uid``, counts, digest, base spans and candidates of every row."""
+    rows = docs.select(docs[doc_id].alias("doc_id"), text_of(docs, text).alias("text"))
+    counts = ", ".join(f"n_{k} long" for k in KINDS)
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, {counts}, base_sha256 string, base string, found array<struct<kind: string, start: int, end: int, token: string, patterns: array<string>>>"
+    return materialise(rows.mapInPandas(_scan, schema).withColumn("uid", F.monotonically_increasing_id()), "pii-base")
+
+
+def masked_recall(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", every: int = 5, rounds: int = 3, support: int = 5, trust: float = 0.7, accept: float = 0.9
+) -> DataFrame:
+    """How many seeds the contexts find again: ``kind, n, found``.
+
+    One in ``every`` of the fixed patterns' identifiers is taken for unlabelled,
+    everywhere; ``found`` of these ``n`` are discovered as of their kind.
+    """
+    found = _scanned(docs, text, doc_id).select(F.explode("found").alias("f")).select("f.*")
+    hidden = F.pmod(F.xxhash64("token"), F.lit(every)) == 0
+    learnt = _learn(found.withColumn("kind", F.when(~hidden, F.col("kind"))), rounds, support, trust, accept)
+    asked = found.filter(hidden & F.col("kind").isNotNull()).select("token", "kind").distinct()
+    met = asked.join(learnt.select("token", F.col("kind").alias("got")), "token", "left")
+    return met.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == F.col("got")).alias("found"))
+
+
 def scan_pii(
     docs: DataFrame,
     text: str = "text",
@@ -222,10 +248,7 @@ def scan_pii(
     Null texts count as empty: no spans, the digest of the empty text.  Rows that
     repeat are reported each; an empty table gives no rows.
     """
-    rows = docs.select(docs[doc_id].alias("doc_id"), text_of(docs, text).alias("text"))
-    counts = ", ".join(f"n_{k} long" for k in KINDS)
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, {counts}, base_sha256 string, base string, found array<struct<kind: string, start: int, end: int, token: string, patterns: array<string>>>"
-    base = materialise(rows.mapInPandas(_scan, schema).withColumn("uid", F.monotonically_increasing_id()), "pii-base")
+    base = _scanned(docs, text, doc_id)
     found = base.select("uid", F.explode("found").alias("f")).select("uid", "f.*")
     learnt = _learn(found, rounds, support, trust, accept)
     new = found.filter("kind is null").drop("kind", "patterns").join(learnt, "token")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, jaccard, langid, licenses, mixing, pieces, pii, secrets, topk
+from . import base_sql, chat, exact_dedup, jaccard, langid, licenses, mixing, pieces, pii, secrets, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,16 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents"))
 
 
+def personal_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of ``op2_personal_data``."""
+    return op2_personal_data(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in pii.KINDS], "base_sha256")
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of ``op6_secrets``."""
+    return op6_secrets(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in secrets.KINDS], "base_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_personal_data": op2_personal_data,
@@ -65,9 +75,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_chat_format": op9_chat_format,
     "op10_source_mix": op10_source_mix,
+    "personal_data_base": personal_data_base,
+    "secrets_base": secrets_base,
 }
 
 ORACLES: dict[str, str] = {
+    "personal_data_base": base_sql.scan_sql(base_sql.PERSONAL, "place, s"),
+    "secrets_base": base_sql.scan_sql(base_sql.SECRET, "s, place"),
+    # for conversations without quotations, as the shipped ones are; tests plant quotations
+    "op9_chat_format": """
+        WITH m AS (SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, 'unknown')) - 1 AS position
+                   FROM conversations)
+        SELECT conv_id, position // 256 AS chunk, count(*) AS n_messages, 0::BIGINT AS n_replies,
+               string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>', chr(10) ORDER BY position) AS conversation
+        FROM m GROUP BY 1, 2""",
     "op5_top_k": """
         WITH v AS (SELECT row_number() OVER () AS row, vec_id,
                           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q

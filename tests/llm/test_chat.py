@@ -1,6 +1,9 @@
 import random
 
 from skein.llm import chat
+from skein.llm.queries import ORACLES, QUERIES
+
+from .. import oracle
 
 ROWS = [
     (1, 0, "user", "Hello there.\nHow are you today?"), (1, 1, "assistant", "I am fine.\n\nWhat else?"), (1, 2, "user", "> How are you  TODAY?\nstill asking"),
@@ -14,6 +17,16 @@ def table(spark, rows):
     return spark.createDataFrame([(*r, "u", 1, "b") for r in rows], SCHEMA)
 
 
+def test_query_equals_sql(spark, sf_dir):
+    oracle.compare(spark, QUERIES["op9_chat_format"], ORACLES["op9_chat_format"], sf_dir)
+
+
+def test_repeated_turns_go_by_role_and_text(spark):
+    rows = [(1, 5, "user", "b"), (1, 5, "user", "a"), (1, 5, "assistant", "c"), (1, 4, "user", "z")]
+    orders = [[(r.turn, r.role, r.text) for r in chat.thread(table(spark, x).coalesce(1)).orderBy("position").collect()] for x in (rows, rows[::-1])]
+    assert orders[0] == orders[1] and [x[1] for x in orders[0]] == ["user", "assistant", "user", "user"]
+
+
 def test_threads(spark):
     got = {}
     for r in chat.thread(table(spark, ROWS).repartition(3)).orderBy("conv_id", "position").collect():
