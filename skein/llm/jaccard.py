@@ -359,15 +359,17 @@ def similar(
 def _verify(base: DataFrame, sets: DataFrame, groups: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links of all pairs within each group: ``sid, root, copies_met, sets_met`` by tile."""
     members = groups.withColumnRenamed("node", "sid").join(sets.select("sid", "copies", "first", "n_grams"), "sid")
+    # smaller tiles where there are fewer sets than would fill the tasks
+    tile_sets = min(TILE_SETS, max(TILE_SETS // 4, groups.count() // parts(base)))
     sizes = members.groupBy("comp").agg(F.count("*").alias("n"), F.sum("n_grams").alias("grams"))
-    side = F.ceil(F.greatest(F.col("n") / TILE_SETS, F.col("grams") / TILE_GRAMS)).cast("int")
+    side = F.ceil(F.greatest(F.col("n") / tile_sets, F.col("grams") / TILE_GRAMS)).cast("int")
     # a component of many sets or n-grams has tasks of its own; others share tasks that hold a tile's worth on average
-    sizes = sizes.withColumn("side", side).withColumn("tiled", F.greatest(F.col("n") / TILE_SETS, F.col("grams") / TILE_GRAMS) > 0.125)
+    sizes = sizes.withColumn("side", side).withColumn("tiled", F.greatest(F.col("n") / tile_sets, F.col("grams") / TILE_GRAMS) > 0.125)
     sizes = materialise(sizes, "candidate-sizes")
     total, grams = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("grams"), F.lit(0))).first()
     members = _joined(members, sizes, "comp", total).select("sid", "comp", "side", "tiled", "copies", "first")
     members = materialise(members, "members")
-    bins = max(parts(base), 2 * -(-total // TILE_SETS), 2 * -(-grams // TILE_GRAMS))
+    bins = max(parts(base), 2 * -(-total // tile_sets), 2 * -(-grams // TILE_GRAMS))
 
     key = members.select("sid", "comp", "side", "tiled", "copies", F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
     texts = base.join(key, base["doc_id"].eqNullSafe(key["_id"]) & (base["text_key"] == key["_key"]))
