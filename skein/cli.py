@@ -10,6 +10,20 @@ from . import __version__
 from .sources.context import parse_context
 
 
+EXAMPLES = """examples:
+  python -m skein.cli urls bundle.js
+  python -m skein.cli urls --input sources/ --include-templates --context API=/v2
+  python -m skein.cli strings bundle.js --min 5
+  python -m skein.cli tree bundle.js --only-named
+  python -m skein.cli inspect bundle.js --types identifier string
+  python -m skein.cli query bundle.js --query '(string) @s' --trim
+  cat bundle.js | python -m skein.cli urls"""
+
+
+class _Help(argparse.ArgumentDefaultsHelpFormatter, argparse.RawDescriptionHelpFormatter):
+    """Defaults beside the options, the examples as they stand."""
+
+
 class _Parser(argparse.ArgumentParser):
     def error(self, message: str) -> None:
         """Errors end with status 1 and the help."""
@@ -19,28 +33,28 @@ class _Parser(argparse.ArgumentParser):
 
 
 def arguments(given: Sequence[str] | None = None) -> argparse.Namespace:
-    parser = _Parser(prog="skein", description="URLs, strings and syntax of JavaScript and HTML sources")
+    parser = _Parser(prog="skein", description="URLs, strings and syntax of JavaScript and HTML sources", epilog=EXAMPLES, formatter_class=_Help)
     parser.add_argument("-v", "--version", action="version", version=__version__)
     modes = parser.add_subparsers(dest="mode", required=True, parser_class=_Parser)
 
     def mode(name: str, text: str) -> argparse.ArgumentParser:
-        one = modes.add_parser(name, help=text)
+        one = modes.add_parser(name, help=text, description=text, epilog=EXAMPLES, formatter_class=_Help)
         one.add_argument("file", nargs="*", help="files or folders; standard input if none is given")
         one.add_argument("--input", help="a file or folder, in place of the positional ones")
         one.add_argument("--output", help="a folder for the result (default: stdout)")
         return one
 
     urls = mode("urls", "URLs, paths and file names")
-    urls.add_argument("--placeholder", default="FUZZ")
+    urls.add_argument("--placeholder", default="FUZZ", help="stands for what isn't known")
     urls.add_argument("--include-templates", action="store_true")
     urls.add_argument("--verbose", action="store_true", help="print candidates in place of the final list")
-    urls.add_argument("--max-nodes", type=int, default=1_000_000)
-    urls.add_argument("--max-file-size", type=float, default=1.0)
-    urls.add_argument("--html-parser", default="lxml")
+    urls.add_argument("--max-nodes", type=int, default=1_000_000, help="syntax nodes read per pass")
+    urls.add_argument("--max-file-size", type=float, default=1.0, help="MB up to which variables are resolved")
+    urls.add_argument("--html-parser", default="lxml", help="accepted; there is one reader")
     urls.add_argument("--skip-symbols", action="store_true")
     urls.add_argument("--skip-aliases", action="store_true")
-    urls.add_argument("--context")
-    urls.add_argument("--context-policy", default="merge")
+    urls.add_argument("--context", help="values of names: a JSON file, a JSON object or KEY=VALUE pairs")
+    urls.add_argument("--context-policy", default="merge", help="merge, override or only")
     urls.add_argument("--extensions")
     tree = mode("tree", "syntax tree")
     tree.add_argument("--indent", type=int, default=2)

@@ -93,47 +93,31 @@ def clean_punctuation(text: Column) -> Column:
 def clean_brackets(text: Column) -> Column:
     """Cut at the first closing bracket that nothing opened.
 
-    A fold over the characters with the brackets still open as a string; texts
-    without a closing bracket pass by.
+    A fold over the characters to the place of the cut, with the brackets still
+    open as a string; texts without a closing bracket pass by.
     """
-    start = F.struct(F.lit("").alias("open"), F.lit("").alias("kept"), F.lit(False).alias("cut"))
+    start = F.struct(F.lit("").alias("open"), F.lit(0).alias("at"), F.lit(-1).alias("cut"))
 
     def step(state: Column, char: Column) -> Column:
-        opened = state["open"]
+        opened, closes = state["open"], char.isin(")", "]", "}")
         wants = F.translate(F.right(opened, F.lit(1)), "([{", ")]}")
-        closes = char.isin(")", "]", "}")
-        cut = state["cut"] | (closes & (wants != char))
         after = (
             F.when(char.isin("(", "[", "{"), F.concat(opened, char))
             .when(closes, F.substring(opened, F.lit(1), F.length(opened) - 1))
             .otherwise(opened)
         )
-        kept = F.when(cut, state["kept"]).otherwise(F.concat(state["kept"], char))
-        return F.struct(after.alias("open"), kept.alias("kept"), cut.alias("cut"))
+        cut = F.when((state["cut"] < 0) & closes & (wants != char), state["at"]).otherwise(state["cut"])
+        return F.struct(after.alias("open"), (state["at"] + 1).alias("at"), cut.alias("cut"))
 
-    folded = F.aggregate(F.split(text, ""), start, step, lambda s: s["kept"])
-    return F.when(text.rlike(r"[)\]}]"), folded).otherwise(text)
+    place = F.aggregate(F.split(text, ""), start, step, lambda s: s["cut"])
+    place = F.when(text.rlike(r"[)\]}]"), place).otherwise(-1)
+    return F.when(place >= 0, F.substring(text, F.lit(1), place)).otherwise(text)
 
 
 def clean(text: Column) -> Column:
     return clean_punctuation(clean_brackets(text))
 
 
-def _stamp(*parts: str) -> str:
-    """A date or time of format letters, each bare or in braces."""
-    return "".join(p if p in ("[/-]", ":") else f"(?:{p}|\\{{(?:{p})\\}})" for p in parts)
-
-
-_YEAR, _MONTH, _DAY = "yyyy|yy", "mm|m", "dd|d"
-_DATES = (
-    _stamp(_YEAR, "[/-]", _MONTH, "[/-]", _DAY), _stamp(_DAY, "[/-]", _MONTH, "[/-]", _YEAR), _stamp(_MONTH, "[/-]", _DAY, "[/-]", _YEAR)
-)
-_FORMATS = f"(?i)^/+(?:{'|'.join(_DATES)}|{_stamp('hh|h', ':', 'mm|m')}(?::{_stamp('ss|s')})?)/?$"
-_BARE_DATE = "(?i)^(?:{0})[/-](?:{0})[/-](?:{0})$".format("yyyy|yy|mm|m|dd|d")
-_ZONE = rf"^(?:{'|'.join(fixed.TIMEZONE_AREAS)})/[A-Za-z0-9_+-]+(?:/[A-Za-z0-9_+-]+)?(?:\|.+)?$"
-_API = rf"^(?:{'|'.join(fixed.JS_GLOBALS)})\.|\.prototype\.|\.(?:{'|'.join(fixed.JS_METHODS)})\s*$"
-
-
 def is_junk(text: Column, placeholder: str = "FUZZ", extra: Sequence[str] = ()) -> Column:
     """Nothing that an address would be: null, fragments, MIME types, formats, names of functions and so on."""
     p = quoted(placeholder)
@@ -152,14 +136,14 @@ def is_junk(text: Column, placeholder: str = "FUZZ", extra: Sequence[str] = ())
         text.rlike(fixed.PROPERTY_PATH) & ~is_filename(text, extra),
         text.rlike(fixed.ONE_PARAM),
         text.rlike(f"^{p}(?:/{p})+$"),
-        text.rlike(_FORMATS),
-        text.rlike(_ZONE),
-        text.rlike(_BARE_DATE),
+        text.rlike(fixed.DATE_FORMAT),
+        text.rlike(fixed.ZONE),
+        text.rlike(fixed.BARE_DATE),
         text.rlike(fixed.BACKREFERENCE),
         (F.length(bare) > 0) & ~bare.rlike("[a-zA-Z0-9]"),
-        text.rlike(_API),
-        text.rlike(r"['\"(]\s*$"),
-        (F.length(text) > 3) & inner.rlike("['\"]") & ~text.rlike(r"^(?:https?://|/|\./|\.\./|\{)"),
+        text.rlike(fixed.API),
+        text.rlike(fixed.OPEN_END),
+        (F.length(text) > 3) & inner.rlike("['\"]") & ~text.rlike(fixed.QUOTE_START),
     )
     found = rules[0]
     for rule in rules[1:]:

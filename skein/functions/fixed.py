@@ -2,11 +2,13 @@
 
 # --- file names ---------------------------------------------------------------
 
-FILE_EXTENSIONS = tuple(
-    "apng asp aspx atom avif bmp cgi css csv eot gif gz htm html ico ics jpeg jpg js json json5 jsonld jsx less map md"
-    " mjs mp3 mp4 oga ogg ogv otf pdf php png rss sass scss shtml svg svgz tar ts tsv tsx ttf txt wav wasm webm"
-    " webmanifest webp woff woff2 xhtml xml xsl xslt yaml yml zip".split()
-)
+FILE_EXTENSIONS = (
+    "apng", "asp", "aspx", "atom", "avif", "bmp", "cgi", "css", "csv", "eot", "gif", "gz", "htm", "html", "ico",
+    "ics", "jpeg", "jpg", "js", "json", "json5", "jsonld", "jsx", "less", "map", "md", "mjs", "mp3", "mp4", "oga",
+    "ogg", "ogv", "otf", "pdf", "php", "png", "rss", "sass", "scss", "shtml", "svg", "svgz", "tar", "ts", "tsv",
+    "tsx", "ttf", "txt", "wav", "wasm", "webm", "webmanifest", "webp", "woff", "woff2", "xhtml", "xml", "xsl",
+    "xslt", "yaml", "yml", "zip",
+)
 
 # --- MIME types -----------------------------------------------------------------
 
@@ -69,28 +71,33 @@ SKIPPED_SCHEMES = ("#", "javascript:", "data:", "tel:")
 
 # --- names of syntax nodes -------------------------------------------------------------
 
-NODE_TYPES = tuple(
-    "arguments array array_pattern arrow_function as assignment_expression assignment_pattern async"
-    " augmented_assignment_expression await await_expression binary_expression break break_statement call_expression case"
-    " catch catch_clause class class_body class_declaration class_heritage class_static_block comment"
-    " computed_property_name const continue continue_statement debugger debugger_statement declaration decorator default"
-    " delete do do_statement else else_clause empty_statement escape_sequence export export_clause export_specifier"
-    " export_statement expression expression_statement extends false field_definition finally finally_clause for"
-    " for_in_statement for_statement formal_parameters from function function_declaration generator_function"
-    " generator_function_declaration get glimmer_closing_tag glimmer_opening_tag glimmer_template hash_bang_line identifier"
-    " if if_statement import import_clause import_specifier import_statement in instanceof jsx_attribute"
-    " jsx_closing_element jsx_element jsx_expression jsx_namespace_name jsx_opening_element jsx_self_closing_element"
-    " jsx_text labeled_statement let lexical_declaration member_expression meta_property method_definition named_imports"
-    " namespace_export namespace_import new new_expression null number object object_assignment_pattern object_pattern of"
-    " optional_chain pair pair_pattern parenthesized_expression pattern primary_expression private_property_identifier"
-    " program property_identifier regex regex_flags regex_pattern rest_pattern return return_statement"
-    " sequence_expression set shorthand_property_identifier shorthand_property_identifier_pattern spread_element"
-    " statement statement_block statement_identifier static static get string string_fragment subscript_expression super"
-    " switch switch_body switch_case switch_default switch_statement target template_string template_substitution"
-    " ternary_expression this throw throw_statement true try try_statement typeof unary_expression undefined"
-    " update_expression var variable_declaration variable_declarator void while while_statement with with_statement yield"
-    " yield_expression".replace("static static get", "static static_get").split()
-)
+NODE_TYPES = (
+    "arguments", "array", "array_pattern", "arrow_function", "as", "assignment_expression", "assignment_pattern",
+    "async", "augmented_assignment_expression", "await", "await_expression", "binary_expression", "break",
+    "break_statement", "call_expression", "case", "catch", "catch_clause", "class", "class_body",
+    "class_declaration", "class_heritage", "class_static_block", "comment", "computed_property_name", "const",
+    "continue", "continue_statement", "debugger", "debugger_statement", "declaration", "decorator", "default",
+    "delete", "do", "do_statement", "else", "else_clause", "empty_statement", "escape_sequence", "export",
+    "export_clause", "export_specifier", "export_statement", "expression", "expression_statement", "extends",
+    "false", "field_definition", "finally", "finally_clause", "for", "for_in_statement", "for_statement",
+    "formal_parameters", "from", "function", "function_declaration", "generator_function",
+    "generator_function_declaration", "get", "glimmer_closing_tag", "glimmer_opening_tag", "glimmer_template",
+    "hash_bang_line", "identifier", "if", "if_statement", "import", "import_clause", "import_specifier",
+    "import_statement", "in", "instanceof", "jsx_attribute", "jsx_closing_element", "jsx_element", "jsx_expression",
+    "jsx_namespace_name", "jsx_opening_element", "jsx_self_closing_element", "jsx_text", "labeled_statement", "let",
+    "lexical_declaration", "member_expression", "meta_property", "method_definition", "named_imports",
+    "namespace_export", "namespace_import", "new", "new_expression", "null", "number", "object",
+    "object_assignment_pattern", "object_pattern", "of", "optional_chain", "pair", "pair_pattern",
+    "parenthesized_expression", "pattern", "primary_expression", "private_property_identifier", "program",
+    "property_identifier", "regex", "regex_flags", "regex_pattern", "rest_pattern", "return", "return_statement",
+    "sequence_expression", "set", "shorthand_property_identifier", "shorthand_property_identifier_pattern",
+    "spread_element", "statement", "statement_block", "statement_identifier", "static", "static get", "string",
+    "string_fragment", "subscript_expression", "super", "switch", "switch_body", "switch_case", "switch_default",
+    "switch_statement", "target", "template_string", "template_substitution", "ternary_expression", "this", "throw",
+    "throw_statement", "true", "try", "try_statement", "typeof", "unary_expression", "undefined",
+    "update_expression", "var", "variable_declaration", "variable_declarator", "void", "while", "while_statement",
+    "with", "with_statement", "yield", "yield_expression",
+)
 #: Types that the parser gives besides the catalogue's, for queries.
 MORE_NODE_TYPES = ("ERROR", "function_expression", "import_attribute")
 
@@ -118,3 +125,20 @@ BARE_SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*://?$"
 PROPERTY_PATH = r"(?i)^[a-z]+\.[a-z]+\.[a-z.]+$"
 ONE_PARAM = r"^/\{[^}]+\}$"
 BACKREFERENCE = r"\$[0-9]"
+
+
+def _stamp(*parts: str) -> str:
+    """A date or time of format letters, each bare or in braces."""
+    return "".join(p if p in ("[/-]", ":") else f"(?:{p}|\\{{(?:{p})\\}})" for p in parts)
+
+
+_YEAR, _MONTH, _DAY = "yyyy|yy", "mm|m", "dd|d"
+_DATES = (
+    _stamp(_YEAR, "[/-]", _MONTH, "[/-]", _DAY), _stamp(_DAY, "[/-]", _MONTH, "[/-]", _YEAR), _stamp(_MONTH, "[/-]", _DAY, "[/-]", _YEAR)
+)
+DATE_FORMAT = f"(?i)^/+(?:{'|'.join(_DATES)}|{_stamp('hh|h', ':', 'mm|m')}(?::{_stamp('ss|s')})?)/?$"
+BARE_DATE = "(?i)^(?:{0})[/-](?:{0})[/-](?:{0})$".format("yyyy|yy|mm|m|dd|d")
+ZONE = rf"^(?:{'|'.join(TIMEZONE_AREAS)})/[A-Za-z0-9_+-]+(?:/[A-Za-z0-9_+-]+)?(?:\|.+)?$"
+API = rf"^(?:{'|'.join(JS_GLOBALS)})\.|\.prototype\.|\.(?:{'|'.join(JS_METHODS)})\s*$"
+OPEN_END = r"['\"(]\s*$"
+QUOTE_START = r"^(?:https?://|/|\./|\.\./|\{)"

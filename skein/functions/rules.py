@@ -115,3 +115,49 @@ def unescape(text: str) -> str:
         return _ESCAPES[m[5]]
 
     return _ESCAPE.sub(value, text)
+
+
+_CLOSES = {"(": ")", "[": "]", "{": "}"}
+
+
+def clean(text: str) -> str:
+    """Cut at the first closing bracket that nothing opened, then without full stops and commas at the end."""
+    waiting: list[str] = []
+    for at, c in enumerate(text):
+        if c in _CLOSES:
+            waiting.append(_CLOSES[c])
+        elif c in ")]}":
+            if not waiting or waiting.pop() != c:
+                text = text[:at]
+                break
+    return text.rstrip(".,")
+
+
+_JUNK = [
+    re.compile(x)
+    for x in (
+        f"^(?:{'|'.join(fixed.MIME_PREFIXES)})/", fixed.BARE_SCHEME, fixed.ONE_PARAM, fixed.DATE_FORMAT, fixed.ZONE, fixed.BARE_DATE,
+        fixed.BACKREFERENCE, fixed.API, fixed.OPEN_END,
+    )
+]
+_PROPERTY = re.compile(fixed.PROPERTY_PATH)
+_QUOTE_START = re.compile(fixed.QUOTE_START)
+
+
+def is_junk(text: str | None, placeholder: str = "FUZZ", extra: frozenset[str] = frozenset()) -> bool:
+    """Nothing that an address would be; the rules of the column of this name, for single texts."""
+    if text is None or len(text) < 2 or text in fixed.JUNK or text.startswith(fixed.JUNK_PREFIX):
+        return True
+    if text in {f"/{placeholder}", f"//{placeholder}", *(placeholder + u for u in fixed.CSS_UNITS)}:
+        return True
+    if text in {f"{s}://{placeholder}{e}" for s in ("http", "https") for e in ("", "/")}:
+        return True
+    bare = text.replace(placeholder, "")
+    return (
+        any(p.search(text) for p in _JUNK)
+        or text.split(";", 1)[0].split(",", 1)[0].strip(" ") in fixed.MIME_OTHERS
+        or bool(_PROPERTY.search(text) and not is_filename(text, extra))
+        or re.fullmatch(f"{re.escape(placeholder)}(?:/{re.escape(placeholder)})+", text) is not None
+        or bool(bare and not re.search("[a-zA-Z0-9]", bare))
+        or (len(text) > 3 and re.search("['\"]", text[1:-1]) is not None and not _QUOTE_START.search(text))
+    )

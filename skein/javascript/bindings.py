@@ -13,6 +13,9 @@ LOCATION = {
     "protocol": "https:", "hostname": "{}", "host": "{}", "origin": "https://{}", "pathname": "/{}", "port": "", "search": "", "hash": "",
 }
 
+#: Problems: more readings of an expression, or nodes in a text, than the options allow.
+READINGS, NODES = "readings cut", "nodes cut"
+
 
 def string_value(node: Node | None) -> str | None:
     return unescape(node.text[1:-1]) if node is not None and node.type == "string" else None
@@ -49,6 +52,7 @@ class Bindings:
 
     def __init__(self, placeholder: str, context: dict[str, Any] | None = None, policy: str = "merge", most: int | None = None):
         self.placeholder, self.most = placeholder, most
+        self.problems: set[str] = set()
         self.context, self.policy = context or {}, policy
         self.names: dict[str, list[str]] = {}
         self.objects: dict[str, Any] = {}
@@ -115,6 +119,7 @@ class Bindings:
 
     def _pairs(self, left: list[str], right: list[str]) -> list[tuple[str, str]]:
         if self.most is not None and len(left) * len(right) > self.most:
+            self.problems.add(READINGS)
             left = left[: max(1, self.most // len(right))]
         return list(product(left, right))[: self.most]
 
@@ -167,6 +172,7 @@ class Bindings:
         """Go through the tree in order; after ``limit`` nodes the rest stays unread."""
         for seen, (node, _) in enumerate(root.walk(named_only=True)):
             if seen > limit:
+                self.problems.add(NODES)
                 break
             if node.type == "variable_declarator":
                 self._assign(node.get("name"), node.get("value"))

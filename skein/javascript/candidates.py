@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import islice, product
@@ -10,7 +11,7 @@ from typing import Any, NamedTuple
 from ..functions import rules
 from . import markup
 from .aliases import nearby
-from .bindings import Bindings, call_arguments, method_of, receiver, string_value
+from .bindings import NODES, READINGS, Bindings, call_arguments, method_of, receiver, string_value
 from .nodes import Node
 from .parser import parse
 
@@ -53,6 +54,7 @@ class Collector:
         self.options, self.bindings = options, bindings
         self.placeholder = options.placeholder
         self.entries: dict[tuple[str, str, str], Entry] = {}
+        self.problems: set[str] = set()
 
     # -- traversal ----------------------------------------------------------------
 
@@ -105,7 +107,7 @@ class Collector:
             if self._address(found.strip()):
                 entry = plain(found.strip())
                 self.entries.setdefault((entry.original, entry.placeholder, entry.resolved or ""), entry)
-        self.run(parse(text), [self.options.max_nodes])
+        self.run(parse(text, self.problems), [self.options.max_nodes])
 
     # -- literals -------------------------------------------------------------------
 
@@ -115,7 +117,7 @@ class Collector:
             return []
         pieces = markup.read(text)
         for code in markup.scripts(pieces):
-            self.run(parse(code), budget)
+            self.run(parse(code, self.problems), budget)
         return [plain(a) for a in markup.addresses(pieces, self.options.extensions)]
 
     def _message(self, text: str) -> list[Entry] | None:
@@ -177,7 +179,10 @@ class Collector:
             return [plain(original)] if self._address(original) else []
         out: list[Entry] = []
         good = self._address(original)
-        for combination in islice(product(*values), self.options.max_combinations):
+        most = self.options.max_combinations
+        if most is not None and math.prod(map(len, values)) > most:
+            self.problems.add(READINGS)
+        for combination in islice(product(*values), most):
             resolved = "".join(combination)
             message = self._message(resolved)
             if message is not None:
@@ -282,12 +287,17 @@ class Collector:
         yield Entry(original, value, resolved if resolved and resolved != value else None, template)
 
 
-def entries(source: str, options: Options) -> list[Entry]:
-    """Candidate addresses of one JavaScript text, first occurrences in order."""
-    root = parse(source)
+def entries(source: str, options: Options, problems: set[str] | None = None) -> list[Entry]:
+    """Candidate addresses of one JavaScript text, first occurrences in order; limits that were met go to ``problems``."""
+    found: set[str] = set() if problems is None else problems
+    root = parse(source, found)
     bindings = Bindings(options.placeholder, options.context, options.policy, options.max_combinations)
     if not options.skip_symbols and not (options.context and options.policy == "only"):
         bindings.collect(root, options.max_nodes)
     collector = Collector(options, bindings)
-    collector.run(root, [options.max_nodes])
+    budget = [options.max_nodes]
+    collector.run(root, budget)
+    found |= collector.problems | bindings.problems
+    if budget[0] < 0:
+        found.add(NODES)
     return list(collector.entries.values())

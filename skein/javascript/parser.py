@@ -43,6 +43,12 @@ _PATTERNS = {
 }
 
 
+#: Constructs within each other that are read; deeper ones become loose tokens, and ``DEEP`` is noted.
+MAX_DEPTH = 900
+#: Problems: too deep; read again and again in more ways than the effort for a text of its size allows.
+DEEP, AMBIGUOUS = "nested too deep", "too ambiguous"
+
+
 class Unreadable(Exception):
     """No construct of the language begins here."""
 
@@ -56,6 +62,8 @@ class Parser:
         self.depth = 0
         self.effort = 0
         self.limit = 40 * self.n + 20_000
+        #: What kept parts of the text from being read as what they are.
+        self.problems: set[str] = set()
         self.pos = 0
         self._next(0)
 
@@ -128,6 +136,8 @@ class Parser:
             except (Unreadable, RecursionError):
                 self.depth = 0
                 self.no_in = False
+        else:
+            self.problems.add(AMBIGUOUS)
         self.reset(mark)
         error = self.start("ERROR", at)
         begun = False
@@ -604,7 +614,11 @@ class Parser:
 
     def assignment(self) -> Node:
         self.depth += 1
-        if self.depth > 900 or self.effort > 2 * self.limit:
+        if self.effort > 2 * self.limit:
+            self.problems.add(AMBIGUOUS)
+            raise Unreadable
+        if self.depth > MAX_DEPTH:
+            self.problems.add(DEEP)
             raise Unreadable
         try:
             return self._assignment()
@@ -696,7 +710,8 @@ class Parser:
 
     def nested_unary(self) -> Node:
         self.depth += 1
-        if self.depth > 900:
+        if self.depth > MAX_DEPTH:
+            self.problems.add(DEEP)
             raise Unreadable
         try:
             return self.unary()
@@ -755,7 +770,8 @@ class Parser:
             node.type = "meta_property"
             return node.add(self.leaf()).add(self.word("property_identifier"))
         self.depth += 1
-        if self.depth > 900:
+        if self.depth > MAX_DEPTH:
+            self.problems.add(DEEP)
             raise Unreadable
         node.add(self.chain(self.new() if self.at("new") else self.primary(), False), "constructor")
         self.depth -= 1
@@ -925,7 +941,8 @@ class Parser:
 
     def jsx(self) -> Node:
         self.depth += 1
-        if self.depth > 900:
+        if self.depth > MAX_DEPTH:
+            self.problems.add(DEEP)
             raise Unreadable
         opening = self.start("jsx_opening_element").add(self.expect("<"))
         name = self._jsx_name()
@@ -1002,8 +1019,12 @@ def _as_pattern(node: Node) -> Node:
     return node
 
 
-def parse(source: str) -> Node:
-    """The tree of a text, of type ``program``."""
+def parse(source: str, problems: set[str] | None = None) -> Node:
+    """The tree of a text, of type ``program``; what went unread for its depth or effort is added to ``problems``."""
     if sys.getrecursionlimit() < 20_000:
         sys.setrecursionlimit(20_000)
-    return Parser(source).program()
+    parser = Parser(source)
+    root = parser.program()
+    if problems is not None:
+        problems |= parser.problems
+    return root

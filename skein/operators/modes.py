@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..javascript import modes, patterns
 from ..javascript.parser import parse
+from ..plans.frames import fresh, named, others
 
 NODE = (
     "struct<unit_id: int, node_id: int, parent_id: int, child_idx: int, depth: int, type: string, named: boolean,"
@@ -18,17 +19,22 @@ NODE = (
 )
 
 
-def _per_source(sources: DataFrame, text: str, read: Callable[[str], list], kind: str, name: str) -> DataFrame:
-    """The other columns, ``ord`` and what ``read`` gives of each text, in its order; null texts give nothing."""
+def _per_source(sources: DataFrame, text: str, read: Callable[[str], list], kind: str, made: dict[str, str]) -> DataFrame:
+    """The other columns and what ``read`` gives of each text, in its order; null texts give nothing.
+
+    ``made`` has the operator's columns: ``ord`` and parts of what is read, or all of it for ``*``.
+    Columns of the same names give way.
+    """
 
     @F.pandas_udf(f"array<{kind}>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([[] if t is None else read(t) for t in texts], dtype=object)
 
-    others = [c for c in sources.columns if c != text]
-    rows = sources.select(*others, F.posexplode(run(sources[text].cast("string"))).alias("ord", name))
-    return rows.withColumn("ord", F.col("ord").cast("long"))
+    rest, at, one = others(sources, text, made), fresh("at"), fresh("one")
+    rows = sources.select(*rest, F.posexplode(run(named(text).cast("string"))).alias(at, one))
+    places = {"ord": F.col(at).cast("long"), "*": F.col(one)}
+    return rows.select(*rest, *[places.get(part, F.col(f"{one}.{part}")).alias(name) for name, part in made.items()])
 
 
 def _node_rows(source: str, comments: bool) -> list[dict]:
@@ -66,8 +72,8 @@ def js_nodes(sources: DataFrame, text: str = "content", parse_comments: bool = F
     ``start`` and ``end`` are code points, columns are bytes; a node's subtree is
     ``node_id`` to ``last_desc``.
     """
-    rows = _per_source(sources, text, lambda t: _node_rows(t, parse_comments), NODE, "n")
-    return rows.select(*[c for c in sources.columns if c != text], "n.*")
+    parts = [part.split(":")[0].strip() for part in NODE.removeprefix("struct<").removesuffix(">").split(",")]
+    return _per_source(sources, text, lambda t: _node_rows(t, parse_comments), NODE, {p: p for p in parts})
 
 
 def syntax_tree(
@@ -76,7 +82,7 @@ def syntax_tree(
     """``ord, line``: the dump of each source's tree."""
     if indent < 0:
         raise ValueError("indent cannot be negative")
-    return _per_source(sources, text, lambda t: modes.tree(t, indent, only_named, include_text, parse_comments), "string", "line")
+    return _per_source(sources, text, lambda t: modes.tree(t, indent, only_named, include_text, parse_comments), "string", {"ord": "ord", "line": "*"})
 
 
 def js_strings(
@@ -85,12 +91,12 @@ def js_strings(
     """``ord, text``: string and template literals without quotes, each once."""
     if (least is not None and least < 1) or (most is not None and most < 1) or (least is not None and most is not None and least >= most):
         raise ValueError("lengths have to be positive, the least below the most")
-    return _per_source(sources, text, lambda t: modes.strings(t, least, most, include_error), "string", "text")
+    return _per_source(sources, text, lambda t: modes.strings(t, least, most, include_error), "string", {"ord": "ord", "text": "*"})
 
 
 def js_inspect(sources: DataFrame, text: str = "content", types: list[str] | None = None) -> DataFrame:
     """``ord, text``: texts of nodes, of the given types if any."""
-    return _per_source(sources, text, lambda t: modes.inspect(t, types), "string", "text")
+    return _per_source(sources, text, lambda t: modes.inspect(t, types), "string", {"ord": "ord", "text": "*"})
 
 
 def js_query(sources: DataFrame, query: str, text: str = "content", unique: bool = False, trim: bool = False) -> DataFrame:
@@ -100,8 +106,7 @@ def js_query(sources: DataFrame, query: str, text: str = "content", unique: bool
     def read(source: str) -> list[dict]:
         return [{"capture": c, "text": t} for c, t in patterns.run(parse(source), compiled, unique, trim)]
 
-    rows = _per_source(sources, text, read, "struct<capture: string, text: string>", "q")
-    return rows.select(*[c for c in sources.columns if c != text], "ord", "q.capture", "q.text")
+    return _per_source(sources, text, read, "struct<capture: string, text: string>", {"ord": "ord", "capture": "capture", "text": "text"})
 
 
 def node_types(spark) -> DataFrame:

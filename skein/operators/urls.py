@@ -12,29 +12,36 @@ from ..functions import columns as C
 from ..functions import rules
 from ..javascript import markup
 from ..javascript.candidates import Entry, Options, entries
+from ..plans.frames import fresh, named, others
 from ..plans.options import UrlOptions, extension_set
 
 ENTRY = "struct<original: string, placeholder: string, resolved: string, has_template: boolean, verbatim: boolean>"
-_EMPTY = ("", "", None, False, True)
+#: The problem of a script in a page that no tree could be made of.
+UNREADABLE = "unreadable script"
 
 
-def read_source(text: str, size: int, options: UrlOptions) -> list[tuple]:
-    """Candidates of one text; HTML gives its attributes' addresses verbatim, then its scripts' candidates."""
+def read_source(text: str, size: int, options: UrlOptions, problems: set[str] | None = None) -> list[tuple]:
+    """Candidates of one text; HTML gives its attributes' addresses verbatim, then its scripts' candidates.
+
+    Limits that were met are added to ``problems``.
+    """
     own = options.for_size(size)
     if not rules.is_html(text):
-        return [(*e, False) for e in entries(text, own)]
+        return [(*e, False) for e in entries(text, own, problems)]
     pieces = markup.read(text)
     found = [(a, a, a, False, True) for a in markup.addresses(pieces, own.extensions)]
     for code in markup.scripts(pieces):
-        found += [(*e, False) for e in _safely(code, own)]
+        found += [(*e, False) for e in _safely(code, own, problems)]
     return found
 
 
-def _safely(code: str, options: Options) -> list[Entry]:
+def _safely(code: str, options: Options, problems: set[str] | None) -> list[Entry]:
     """A script that can't be read must not take its page with it."""
     try:
-        return entries(code, options)
+        return entries(code, options, problems)
     except (RecursionError, MemoryError):
+        if problems is not None:
+            problems.add(UNREADABLE)
         return []
 
 
@@ -85,20 +92,46 @@ def extract_urls(
 
     ``size`` names a column with the size that the limit of the options holds
     for, where it isn't the number of characters.  Null and empty texts have no
-    addresses.  Sources don't see each other, so rows may be dealt anyhow; large
-    sources are single tasks' work, so spread them before.
+    addresses.  Columns named like the operator's own give way to them.  Sources
+    don't see each other, so rows may be dealt anyhow; large sources are single
+    tasks' work, so spread them before.  :func:`source_problems` tells which
+    sources met a limit.
     """
     options = options or UrlOptions(**given)
-    found = candidates(sources[text].cast("string"), options, sources[size] if size else None)
-    others = [c for c in sources.columns if c != text]
-    rows = sources.select(*others, found.alias("_found"))
-    rows = rows.select(*others, F.posexplode(format_entries(F.col("_found"), options)).alias("ord", "url"))
-    return rows.withColumn("ord", F.col("ord").cast("long"))
+    found, rest = fresh("found"), others(sources, text, ("ord", "url"))
+    rows = sources.select(*rest, candidates(named(text).cast("string"), options, named(size) if size else None).alias(found))
+    at = fresh("at")
+    rows = rows.select(*rest, F.posexplode(format_entries(F.col(found), options)).alias(at, "url"))
+    return rows.select(*rest, F.col(at).cast("long").alias("ord"), "url")
 
 
 def url_entries(sources: DataFrame, text: str = "content", options: UrlOptions | None = None, **given) -> DataFrame:
     """Candidates before cleaning: ``ord, original, placeholder, resolved, has_template`` beside the other columns."""
     options = options or UrlOptions(**given)
-    others = [c for c in sources.columns if c != text]
-    rows = sources.select(*others, F.posexplode(candidates(sources[text].cast("string"), options)).alias("ord", "e"))
-    return rows.select(*others, F.col("ord").cast("long").alias("ord"), "e.original", "e.placeholder", "e.resolved", "e.has_template")
+    rest, at, e = others(sources, text, ("ord", "original", "placeholder", "resolved", "has_template")), fresh("at"), fresh("entry")
+    rows = sources.select(*rest, F.posexplode(candidates(named(text).cast("string"), options)).alias(at, e))
+    return rows.select(*rest, F.col(at).cast("long").alias("ord"), f"{e}.original", f"{e}.placeholder", f"{e}.resolved", f"{e}.has_template")
+
+
+def source_problems(sources: DataFrame, text: str = "content", options: UrlOptions | None = None, size: str | None = None, **given) -> DataFrame:
+    """The other columns and ``problem``, a row for each limit that kept a source from being read in full.
+
+    Problems: ``nested too deep`` and ``too ambiguous`` (parts became loose
+    tokens), ``readings cut`` (``max_combinations``), ``nodes cut`` (``max_nodes``),
+    ``unreadable script`` (of a page).  Sources without problems give no rows.
+    """
+    options = options or UrlOptions(**given)
+
+    @F.pandas_udf("array<string>")
+    def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, sizes in batches:
+            found = []
+            for t, n in zip(texts, sizes, strict=True):
+                problems: set[str] = set()
+                read_source(t, n, options, problems)
+                found.append(sorted(problems))
+            yield pd.Series(found, dtype=object)
+
+    body = F.coalesce(named(text).cast("string"), F.lit(""))
+    sized = F.coalesce(named(size) if size else F.length(body), F.lit(0)).cast("long")
+    return sources.select(*others(sources, text, ("problem",)), F.explode(read(body, sized)).alias("problem"))

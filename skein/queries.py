@@ -76,9 +76,10 @@ def _sql(template: str, text: str) -> str:
     + _sql(_PATH_SQL, "value"),
 )
 def href_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Path-like link targets of each page."""
-    links = html.html_attributes(_pages(spark, sf_dir)).filter("tag = 'a' and name = 'href'")
-    return links.select("page_id", F.trim("value").alias("path")).filter(C.is_path(F.col("path"))).distinct()
+    """Path-like link targets of each page, each once: repeats are dropped within the row."""
+    links = F.filter(html.pieces(F.col("html"), ("attribute",)), lambda p: (p["tag"] == "a") & (p["name"] == "href"))
+    rows = _pages(spark, sf_dir).select("page_id", F.explode(F.array_distinct(F.transform(links, lambda p: F.trim(p["value"])))).alias("path"))
+    return rows.filter(C.is_path(F.col("path")))
 
 
 @_query(
@@ -239,14 +240,14 @@ def _generated(name: str, table: str, key: str, parts: tuple[str, ...], urls: li
 
 
 _generated(
-    "js_literals", "nation", "n_nationkey",
-    ('var a = "/api/n', "<n_nationkey>", '/list"; f(\'https://x', "<n_nationkey>", ".example.com/'); var s = \"plain words\"; g(`/tt/", "<n_nationkey>", "/u`);"),
-    ["'/api/n' || n_nationkey || '/list'", "'https://x' || n_nationkey || '.example.com/'", "'/tt/' || n_nationkey || '/u'"],
+    "js_literals", "supplier", "s_suppkey",
+    ('var a = "/api/n', "<s_suppkey>", '/list"; f(\'https://x', "<s_suppkey>", ".example.com/'); var s = \"plain words\"; g(`/tt/", "<s_suppkey>", "/u`);"),
+    ["'/api/n' || s_suppkey || '/list'", "'https://x' || s_suppkey || '.example.com/'", "'/tt/' || s_suppkey || '/u'"],
 )
 _generated(
-    "js_concat", "region", "r_regionkey",
-    ('const b = "/api/', "<r_name>", '"; const u = b + "/users"; go(b + "/v" + n);'),
-    ["'/api/' || r_name", "'/api/' || r_name || '/users'", "'/users'", "'/api/' || r_name || '/vFUZZ'", "'/api/' || r_name || '/v'"],
+    "js_concat", "customer", "c_custkey",
+    ('const b = "/api/', "<c_mktsegment>", '"; const u = b + "/users"; go(b + "/v" + n);'),
+    ["'/api/' || c_mktsegment", "'/api/' || c_mktsegment || '/users'", "'/users'", "'/api/' || c_mktsegment || '/vFUZZ'", "'/api/' || c_mktsegment || '/v'"],
 )
 _generated(
     "js_template", "part", "p_partkey",
@@ -254,9 +255,9 @@ _generated(
     ["'/parts/' || p_partkey || '/of/FUZZ'", "'/parts/z' || p_partkey || '/of/FUZZ'"],
 )
 _generated(
-    "js_join", "nation", "n_nationkey",
-    ('var s = ["api", "n', "<n_nationkey>", '", "x"]; get(s.join("/"));'),
-    ["'api/n' || n_nationkey || '/x'"],
+    "js_join", "supplier", "s_suppkey",
+    ('var s = ["api", "n', "<s_suppkey>", '", "x"]; get(s.join("/"));'),
+    ["'api/n' || s_suppkey || '/x'"],
 )
 _generated(
     "js_replace", "customer", "c_custkey",
@@ -270,66 +271,66 @@ _generated(
     ["'https://s' || s_suppkey || '.example.com'", "'https://s' || s_suppkey || '.example.com/v1/xx/yy'", "'https://s' || s_suppkey || '.example.com/v1/xx'", "'/v1'", "'/xx'", "'/yy'"],
 )
 _generated(
-    "js_object", "nation", "n_nationkey",
-    ('var c = {base: "/b', "<n_nationkey>", '"}; c.tail = "/t', "<n_nationkey>", '"; go(c.base + c.tail); go(c.none + "/z1");'),
-    ["'/b' || n_nationkey", "'/t' || n_nationkey", "'/b' || n_nationkey || '/t' || n_nationkey", "'FUZZ/z1'", "'/z1'"],
+    "js_object", "supplier", "s_suppkey",
+    ('var c = {base: "/b', "<s_suppkey>", '"}; c.tail = "/t', "<s_suppkey>", '"; go(c.base + c.tail); go(c.none + "/z1");'),
+    ["'/b' || s_suppkey", "'/t' || s_suppkey", "'/b' || s_suppkey || '/t' || s_suppkey", "'FUZZ/z1'", "'/z1'"],
 )
 _generated(
-    "js_subscript", "nation", "n_nationkey",
-    ('var c = {"k": "/kk', "<n_nationkey>", '"}; var i = "k"; var u = c["k"] + "/a1"; var w = c[i] + "/b1"; go(`${u}`); go(`${w}`);'),
-    ["'/kk' || n_nationkey", "'FUZZ/a1'", "'/a1'", "'FUZZ/b1'", "'/b1'", "'/kk' || n_nationkey || '/a1'", "'/kk' || n_nationkey || '/b1'"],
+    "js_subscript", "supplier", "s_suppkey",
+    ('var c = {"k": "/kk', "<s_suppkey>", '"}; var i = "k"; var u = c["k"] + "/a1"; var w = c[i] + "/b1"; go(`${u}`); go(`${w}`);'),
+    ["'/kk' || s_suppkey", "'FUZZ/a1'", "'/a1'", "'FUZZ/b1'", "'/b1'", "'/kk' || s_suppkey || '/a1'", "'/kk' || s_suppkey || '/b1'"],
 )
 _generated(
-    "js_location", "nation", "n_nationkey",
-    ('go(window.location.origin + "/n', "<n_nationkey>", '"); go(location.protocol + "//h', "<n_nationkey>", '.example.com/p");'),
-    ["'https://FUZZ/n' || n_nationkey", "'/n' || n_nationkey", "'https://h' || n_nationkey || '.example.com/p'", "'//h' || n_nationkey || '.example.com/p'"],
+    "js_location", "supplier", "s_suppkey",
+    ('go(window.location.origin + "/n', "<s_suppkey>", '"); go(location.protocol + "//h', "<s_suppkey>", '.example.com/p");'),
+    ["'https://FUZZ/n' || s_suppkey", "'/n' || s_suppkey", "'https://h' || s_suppkey || '.example.com/p'", "'//h' || s_suppkey || '.example.com/p'"],
 )
 _generated(
-    "js_logical", "nation", "n_nationkey",
-    ('var b = x || "/d', "<n_nationkey>", '"; go(b + "/e1");'),
-    ["'FUZZ'", "'/d' || n_nationkey", "'/d' || n_nationkey || '/e1'", "'/e1'"][1:],
+    "js_logical", "supplier", "s_suppkey",
+    ('var b = x || "/d', "<s_suppkey>", '"; go(b + "/e1");'),
+    ["'/d' || s_suppkey", "'/d' || s_suppkey || '/e1'", "'/e1'"],
 )
 _generated(
-    "js_escape", "nation", "n_nationkey",
-    ('go("/e\\x2f', "<n_nationkey>", '\\u002fx?a\\075b");'),
-    ["'/e/' || n_nationkey || '/x?a=b'"],
+    "js_escape", "supplier", "s_suppkey",
+    ('go("/e\\x2f', "<s_suppkey>", '\\u002fx?a\\075b");'),
+    ["'/e/' || s_suppkey || '/x?a=b'"],
 )
 _generated(
-    "js_comment", "nation", "n_nationkey",
-    ("// see https://c", "<n_nationkey>", ".example.com/doc and /rel/", "<n_nationkey>", '\n/* old: get("/was/', "<n_nationkey>", '") */\nx();'),
-    ["'https://c' || n_nationkey || '.example.com/doc'", "'/rel/' || n_nationkey", "'/was/' || n_nationkey"],
-)
-_CONTEXT = ('const t = "/v', "<n_nationkey>", '"; go(`${t}/users`);')
-_generated("ctx_merge", "nation", "n_nationkey", _CONTEXT, ["'/v' || n_nationkey", "'/api/users'", "'/v' || n_nationkey || '/users'"], context={"t": "/api"})
-_generated("ctx_override", "nation", "n_nationkey", _CONTEXT, ["'/v' || n_nationkey", "'/api/users'"], context={"t": "/api"}, context_policy="override")
-_generated("ctx_only", "nation", "n_nationkey", _CONTEXT, ["'/v' || n_nationkey", "'/api/users'"], context={"t": "/api"}, context_policy="only")
+    "js_comment", "supplier", "s_suppkey",
+    ("// see https://c", "<s_suppkey>", ".example.com/doc and /rel/", "<s_suppkey>", '\n/* old: get("/was/', "<s_suppkey>", '") */\nx();'),
+    ["'https://c' || s_suppkey || '.example.com/doc'", "'/rel/' || s_suppkey", "'/was/' || s_suppkey"],
+)
+_CONTEXT = ('const t = "/v', "<s_suppkey>", '"; go(`${t}/users`);')
+_generated("ctx_merge", "supplier", "s_suppkey", _CONTEXT, ["'/v' || s_suppkey", "'/api/users'", "'/v' || s_suppkey || '/users'"], context={"t": "/api"})
+_generated("ctx_override", "supplier", "s_suppkey", _CONTEXT, ["'/v' || s_suppkey", "'/api/users'"], context={"t": "/api"}, context_policy="override")
+_generated("ctx_only", "supplier", "s_suppkey", _CONTEXT, ["'/v' || s_suppkey", "'/api/users'"], context={"t": "/api"}, context_policy="only")
 _generated(
-    "include_templates", "nation", "n_nationkey",
-    ('go("/n', "<n_nationkey>", '/:id"); go(`/mm/${k}/', "<n_nationkey>", "`);"),
-    ["'/n' || n_nationkey || '/{id}'", "'/n' || n_nationkey || '/FUZZ'", "'/mm/{k}/' || n_nationkey", "'/mm/FUZZ/' || n_nationkey"],
+    "include_templates", "supplier", "s_suppkey",
+    ('go("/n', "<s_suppkey>", '/:id"); go(`/mm/${k}/', "<s_suppkey>", "`);"),
+    ["'/n' || s_suppkey || '/{id}'", "'/n' || s_suppkey || '/FUZZ'", "'/mm/{k}/' || s_suppkey", "'/mm/FUZZ/' || s_suppkey"],
     include_templates=True,
 )
 _generated(
-    "skip_symbols", "region", "r_regionkey",
-    ('const b = "/api/', "<r_name>", '"; const u = b + "/users";'),
-    ["'/api/' || r_name", "'FUZZ/users'", "'/users'"],
+    "skip_symbols", "customer", "c_custkey",
+    ('const b = "/api/', "<c_mktsegment>", '"; const u = b + "/users";'),
+    ["'/api/' || c_mktsegment", "'FUZZ/users'", "'/users'"],
     skip_symbols=True,
 )
-_ALIAS = ("function f() { const o = {contentId: t, v: 1}; return get(`/c", "<n_nationkey>", "/${t}`); }")
-_generated("alias_names", "nation", "n_nationkey", _ALIAS, ["'/c' || n_nationkey || '/{contentId}'", "'/c' || n_nationkey || '/FUZZ'"], include_templates=True)
+_ALIAS = ("function f() { const o = {contentId: t, v: 1}; return get(`/c", "<s_suppkey>", "/${t}`); }")
+_generated("alias_names", "supplier", "s_suppkey", _ALIAS, ["'/c' || s_suppkey || '/{contentId}'", "'/c' || s_suppkey || '/FUZZ'"], include_templates=True)
 _generated(
-    "skip_aliases", "nation", "n_nationkey", _ALIAS, ["'/c' || n_nationkey || '/{t}'", "'/c' || n_nationkey || '/FUZZ'"], include_templates=True, skip_aliases=True
+    "skip_aliases", "supplier", "s_suppkey", _ALIAS, ["'/c' || s_suppkey || '/{t}'", "'/c' || s_suppkey || '/FUZZ'"], include_templates=True, skip_aliases=True
 )
 _generated(
-    "html_in_js", "nation", "n_nationkey",
-    ("var h = '<a href=\"/h", "<n_nationkey>", '">x</a><img srcset="/s', "<n_nationkey>", ".png 1x, /tt.png 2x\"><script>get(\"/in", "<n_nationkey>", "\")</script>';"),
-    ["'/in' || n_nationkey", "'/h' || n_nationkey", "'/s' || n_nationkey || '.png'", "'/tt.png'"],
+    "html_in_js", "supplier", "s_suppkey",
+    ("var h = '<a href=\"/h", "<s_suppkey>", '">x</a><img srcset="/s', "<s_suppkey>", ".png 1x, /tt.png 2x\"><script>get(\"/in", "<s_suppkey>", "\")</script>';"),
+    ["'/in' || s_suppkey", "'/h' || s_suppkey", "'/s' || s_suppkey || '.png'", "'/tt.png'"],
 )
 _generated(
-    "js_in_html", "nation", "n_nationkey",
-    ('<html><body data-url="/d', "<n_nationkey>", '"><a href="/a', "<n_nationkey>", '.">x</a><script>var b = "/a', "<n_nationkey>", '."; go(b + "/q1")</script></body></html>'),
+    "js_in_html", "supplier", "s_suppkey",
+    ('<html><body data-url="/d', "<s_suppkey>", '"><a href="/a', "<s_suppkey>", '.">x</a><script>var b = "/a', "<s_suppkey>", '."; go(b + "/q1")</script></body></html>'),
     # attributes come as they are; what scripts give is cleaned
-    ["'/a' || n_nationkey || '.'", "'/d' || n_nationkey", "'/a' || n_nationkey", "'/a' || n_nationkey || './q1'", "'/q1'"],
+    ["'/a' || s_suppkey || '.'", "'/d' || s_suppkey", "'/a' || s_suppkey", "'/a' || s_suppkey || './q1'", "'/q1'"],
 )
 _generated(
     "custom_extensions", "part", "p_partkey",
@@ -337,9 +338,9 @@ _generated(
     ["'s' || p_partkey || '.proto'"], extensions=".proto, graphql",
 )
 _generated(
-    "js_jsx", "nation", "n_nationkey",
-    ('const a = <Link to="/l', "<n_nationkey>", '">{go("/m', "<n_nationkey>", '")}</Link>;'),
-    ["'/l' || n_nationkey", "'/m' || n_nationkey"],
+    "js_jsx", "supplier", "s_suppkey",
+    ('const a = <Link to="/l', "<s_suppkey>", '">{go("/m', "<s_suppkey>", '")}</Link>;'),
+    ["'/l' || s_suppkey", "'/m' || s_suppkey"],
 )
 
 
@@ -348,30 +349,30 @@ _generated(
     "SELECT n_nationkey, big, CASE WHEN big THEN 'FUZZ/users' ELSE '/v' || n_nationkey || '/users' END AS url FROM nation, (VALUES (true), (false)) v(big)",
 )
 def size_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variables of sources over the size limit stay unresolved."""
+    """Variables of sources over the size limit, here by lines of over a million characters, stay unresolved."""
     code = F.concat(F.lit('const t = "/v'), F.col("n_nationkey").cast("string"), F.lit('"; go(t + "/users");'))
-    rows = _table(spark, sf_dir, "nation").select("n_nationkey", code.alias("content"), F.explode(F.array(F.lit(True), F.lit(False))).alias("big"))
-    rows = rows.withColumn("size", F.when(F.col("big"), 2 * 1024 * 1024).otherwise(F.length("content")))
-    found = extract_urls(rows, "content", size="size")
+    rows = _table(spark, sf_dir, "nation").select("n_nationkey", code.alias("code"), F.explode(F.array(F.lit(True), F.lit(False))).alias("big"))
+    lines = F.when(F.col("big"), F.repeat(F.lit("\n"), F.lit(1_100_000))).otherwise(F.lit("\n"))
+    found = extract_urls(spread(rows.select("n_nationkey", "big", F.concat("code", lines).alias("content"))), "content")
     return found.filter(F.col("url").endswith("/users") & (F.col("url") != "/users")).select("n_nationkey", "big", "url")
 
 
 @_query(
     "entries_dedup",
-    "SELECT n_nationkey, 0::BIGINT AS ord, '/p' || n_nationkey AS original, '/p' || n_nationkey AS placeholder, '/p' || n_nationkey AS resolved, false AS has_template FROM nation"
-    " UNION ALL SELECT n_nationkey, 1, '/qq/{x}', '/qq/FUZZ', '/qq/FUZZ', true FROM nation",
+    "SELECT s_suppkey, 0::BIGINT AS ord, '/p' || s_suppkey AS original, '/p' || s_suppkey AS placeholder, '/p' || s_suppkey AS resolved, false AS has_template FROM supplier"
+    " UNION ALL SELECT s_suppkey, 1, '/qq/{x}', '/qq/FUZZ', '/qq/FUZZ', true FROM supplier",
 )
 def entries_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates by first occurrence: repeats of one triple are one."""
-    code = _program('a("/p', "<n_nationkey>", '"); b(`/qq/${x}`); a("/p', "<n_nationkey>", '"); b(`/qq/${x}`);')
-    return url_entries(_table(spark, sf_dir, "nation").select("n_nationkey", code.alias("content")))
+    code = _program('a("/p', "<s_suppkey>", '"); b(`/qq/${x}`); a("/p', "<s_suppkey>", '"); b(`/qq/${x}`);')
+    return url_entries(_table(spark, sf_dir, "supplier").select("s_suppkey", code.alias("content")))
 
 
 @_query(
     "tree_dump",
-    "WITH l AS (SELECT n_nationkey, 12 + len(n_name) AS e FROM nation) "
+    "WITH l AS (SELECT c_custkey, 12 + len(c_name) AS e FROM customer) "
     + " UNION ALL ".join(
-        f"SELECT n_nationkey, {i}::BIGINT AS ord, {t} AS line FROM l"
+        f"SELECT c_custkey, {i}::BIGINT AS ord, {t} AS line FROM l"
         for i, t in enumerate(
             (
                 "'program (0, 0) - (0, ' || (e + 3) || ')'",
@@ -385,17 +386,17 @@ def entries_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def tree_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = _program('const key = "', "<n_name>", '";')
-    return modes.syntax_tree(_table(spark, sf_dir, "nation").select("n_nationkey", code.alias("content")), only_named=True)
+    code = _program('const key = "', "<c_name>", '";')
+    return modes.syntax_tree(_table(spark, sf_dir, "customer").select("c_custkey", code.alias("content")), only_named=True)
 
 
 @_query(
     "inspect_types",
-    "SELECT n_nationkey, unnest([0, 1, 2]::BIGINT[]) AS ord, unnest(['f', 'n_' || n_nationkey, 'g']) AS text FROM nation",
+    "SELECT c_custkey, unnest([0, 1, 2]::BIGINT[]) AS ord, unnest(['f', 'n_' || c_custkey, 'g']) AS text FROM customer",
 )
 def inspect_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = _program("f(n_", "<n_nationkey>", "); g(n_", "<n_nationkey>", ", 'x');")
-    return modes.js_inspect(_table(spark, sf_dir, "nation").select("n_nationkey", code.alias("content")), types=["identifier"])
+    code = _program("f(n_", "<c_custkey>", "); g(n_", "<c_custkey>", ", 'x');")
+    return modes.js_inspect(_table(spark, sf_dir, "customer").select("c_custkey", code.alias("content")), types=["identifier"])
 
 
 @_query(
@@ -411,26 +412,107 @@ def string_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     "query_captures",
-    "SELECT n_nationkey, unnest([0, 1]::BIGINT[]) AS ord, unnest(['fn', 'arg']) AS capture, unnest(['fetch', '/n/' || n_name]) AS text FROM nation",
+    "SELECT c_custkey, unnest([0, 1]::BIGINT[]) AS ord, unnest(['fn', 'arg']) AS capture, unnest(['fetch', '/n/' || c_name]) AS text FROM customer",
 )
 def query_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = _program('fetch("/n/', "<n_name>", '"); other(1); fetch(x);')
+    code = _program('fetch("/n/', "<c_name>", '"); other(1); fetch(x);')
     pattern = "(call_expression function: (identifier) @fn arguments: (arguments (string) @arg))"
-    return modes.js_query(_table(spark, sf_dir, "nation").select("n_nationkey", code.alias("content")), pattern, trim=True)
+    return modes.js_query(_table(spark, sf_dir, "customer").select("c_custkey", code.alias("content")), pattern, trim=True)
 
 
 @_query(
     "node_counts",
     "SELECT type, per * n AS n FROM (VALUES ('program', 1), ('expression_statement', 1), ('call_expression', 1), ('identifier', 2), ('arguments', 1), ('string', 1),"
-    " ('string_fragment', 1)) v(type, per), (SELECT count(*) AS n FROM nation)",
+    " ('string_fragment', 1)) v(type, per), (SELECT count(*) AS n FROM customer)",
 )
 def node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The node relation, aggregated."""
-    code = _program("f(a, 'n", "<n_nationkey>", "')")
-    nodes = modes.js_nodes(_table(spark, sf_dir, "nation").select("n_nationkey", code.alias("content")))
+    code = _program("f(a, 'n", "<c_custkey>", "')")
+    nodes = modes.js_nodes(_table(spark, sf_dir, "customer").select("c_custkey", code.alias("content")))
     return nodes.filter("named").groupBy("type").agg(F.count("*").alias("n"))
 
 
-@_query("node_type_catalogue")
+# -- HTML by rows of a table -----------------------------------------------------------
+
+_generated(
+    "tag_table", "part", "p_partkey",
+    ("<html><body ", *(x for i, (t, a) in enumerate(fixed.TAG_ATTRIBUTES) for x in (f'><{t} {a}="/t{i}/', "<p_partkey>", f'"></{t}')), "></body></html>"),
+    [f"'/t{i}/' || p_partkey" for i in range(len(fixed.TAG_ATTRIBUTES))],
+)
+_generated(
+    "data_attrs", "part", "p_partkey",
+    ('<html><p data-url="/u', "<p_partkey>", '" data-src="/s', "<p_partkey>", '"></p><b data-href="/h', "<p_partkey>", '" data-none="/no"></b></html>'),
+    ["'/u' || p_partkey", "'/s' || p_partkey", "'/h' || p_partkey"],
+)
+_generated(
+    "srcset", "part", "p_partkey",
+    ('<html><img srcset="/small', "<p_partkey>", ".png 1x,/large", "<p_partkey>", '.png 2x, "><source srcset="/one', "<p_partkey>", '.webp"></html>'),
+    ["'/small' || p_partkey || '.png'", "'/large' || p_partkey || '.png'", "'/one' || p_partkey || '.webp'"],
+)
+_generated(
+    "comment_scan", "part", "p_partkey",
+    ("<html><!-- was https://c", "<p_partkey>", '.example.com/doc with href="/old', "<p_partkey>", '" then, /rel/', "<p_partkey>", " --></html>"),
+    ["'https://c' || p_partkey || '.example.com/doc'", "'/old' || p_partkey", "'/rel/' || p_partkey"],
+)
+_generated(
+    "skipped_schemes", "part", "p_partkey",
+    ('<html><a href="#top"></a><a href="javascript:go()"></a><a href="tel:1"></a><img src="data:x/y"><a href="/kept', "<p_partkey>", '"></a></html>'),
+    ["'/kept' || p_partkey"],
+)
+
+
+# -- comments as programs, patterns ------------------------------------------------------
+
+
+def _read(name: str, parts: tuple[str, ...], sql: str, read: Callable[[DataFrame], DataFrame]) -> None:
+    """Register a query that reads a program per part in one of the syntax modes."""
+
+    @_query(name, sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return read(spread(_table(spark, sf_dir, "part").select("p_partkey", _program(*parts).alias("content"))))
+
+
+def _listed(columns: str, rows: list[tuple[str, ...]]) -> str:
+    return " UNION ALL ".join(f"SELECT p_partkey, {i}::BIGINT AS ord, {', '.join(f'{v} AS {c}' for c, v in zip(columns.split(), row, strict=True))} FROM part" for i, row in enumerate(rows))
+
+
+_COMMENTED = ("go(a1); // see(b", "<p_partkey>", ")\n/* then(c2) */")
+_read(
+    "tree_comments", _COMMENTED,
+    "SELECT p_partkey, unit_id, type, text FROM part, LATERAL (VALUES (1, 'program', 'see(b' || p_partkey || ')'), (1, 'expression_statement', 'see(b' || p_partkey || ')'),"
+    " (1, 'call_expression', 'see(b' || p_partkey || ')'), (1, 'identifier', 'see'), (1, 'arguments', '(b' || p_partkey || ')'), (1, 'identifier', 'b' || p_partkey),"
+    " (2, 'program', 'then(c2)'), (2, 'expression_statement', 'then(c2)'), (2, 'call_expression', 'then(c2)'), (2, 'identifier', 'then'), (2, 'arguments', '(c2)'),"
+    " (2, 'identifier', 'c2')) v(unit_id, type, text)",
+    lambda rows: modes.js_nodes(rows, parse_comments=True).filter("named and unit_id > 0").select("p_partkey", "unit_id", "type", F.trim("text").alias("text")),
+)
+_read(
+    "inspect_comments", _COMMENTED, _listed("text", [("'go'",), ("'a1'",), ("'see'",), ("'b' || p_partkey",), ("'then'",), ("'c2'",)]),
+    lambda rows: modes.js_inspect(rows, types=["identifier"]),
+)
+_read(
+    "string_comments", ("go('a1'); // see('b", "<p_partkey>", "', 'a1')"), _listed("text", [("'a1'",), ("'b' || p_partkey",)]), lambda rows: modes.js_strings(rows)
+)
+_CALLS = ('fetch("/p', "<p_partkey>", '"); send(7, "/q"); fetch("/q"); o.fetch(x)')
+_read("query_all", _CALLS, _listed("capture text", [("'s'", "'/p' || p_partkey"), ("'s'", "'/q'"), ("'s'", "'/q'")]), lambda rows: modes.js_query(rows, "(string) @s", trim=True))
+_read("query_unique", _CALLS, _listed("capture text", [("'s'", "'/p' || p_partkey"), ("'s'", "'/q'")]), lambda rows: modes.js_query(rows, "(string) @s", unique=True, trim=True))
+_read(
+    "query_alternation", _CALLS, _listed("capture text", [("'v'", "'/p' || p_partkey"), ("'v'", "'7'"), ("'v'", "'/q'"), ("'v'", "'/q'")]),
+    lambda rows: modes.js_query(rows, "[(string) (number)] @v", trim=True),
+)
+_read(
+    "query_wildcard", _CALLS, _listed("capture text", [("'f'", "'fetch'"), ("'f'", "'send'"), ("'f'", "'fetch'"), ("'f'", "'o.fetch'")]),
+    lambda rows: modes.js_query(rows, "(call_expression function: (_) @f)"),
+)
+_read(
+    "query_predicate", _CALLS, _listed("capture text", [("'f'", "'fetch'"), ("'f'", "'fetch'"), ("'a'", "'(\"/p' || p_partkey || '\")'"), ("'a'", "'(\"/q\")'")]),
+    lambda rows: modes.js_query(rows, '((call_expression function: (identifier) @f arguments: (arguments) @a) (#eq? @f "fetch"))'),
+)
+_read(
+    "query_match", _CALLS, _listed("capture text", [("'s'", "'/p' || p_partkey")]),
+    lambda rows: modes.js_query(rows, '((string) @s (#match? @s "/p[0-9]+"))', trim=True),
+)
+
+
+@_query("node_type_catalogue", "SELECT ord, type FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(fixed.NODE_TYPES)) + ") v(ord, type)")
 def node_type_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modes.node_types(spark)

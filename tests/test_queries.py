@@ -13,6 +13,7 @@ def test_query_equals_sql(spark, sf_dir, name):
 def test_catalogue_has_each_type_once(spark, sf_dir):
     types = [r.type for r in QUERIES["node_type_catalogue"](spark, sf_dir).collect()]
     assert len(types) == len(set(types)) == 157
+    assert "static get" in types and "static" in types and "static_get" not in types
 
 
 def test_entry(spark):
