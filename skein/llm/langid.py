@@ -15,12 +15,13 @@ from .common import row_of, text_of
 
 #: The bounds of the sample that is fitted: characters of reference text that a language gets at
 #: most, and that all get together (with many languages each gets an equal part), and languages:
-#: those with the most text.  An automaton takes some 100 bytes a letter, whatever the alphabet.
+#: those with the most text.  An automaton of 60,000 letters takes up to 32 MB, and some 8 MB where
+#: the alphabet is large or languages are many.
 REFERENCE_CHARS, ALL_CHARS, MAX_LANGUAGES = 60_000, 1_200_000, 256
 #: A reference document may be up to this share of its language's reference text.
 DOC_SHARE = 0.25
 #: Long texts are worked off in stretches of this many letters side by side; results don't depend on it.
-STRETCH = 4096
+STRETCH = 1024
 #: Characters of texts that are worked off at a time.
 PORTION = 2_000_000
 UNDETERMINED = "und"
@@ -50,15 +51,25 @@ def normalise(text: str) -> np.ndarray:
     return points[~(blank & np.concatenate(([False], blank[:-1])))]
 
 
+#: States times letters that all automata together may keep as plain tables of four bytes each.
+DENSE = 32_000_000
 #: Bits of a packed transition that hold the state it leads to.
 _STATE_BITS = np.int64(24)
 
 
 class Automaton:
-    """The suffix automaton of a text over numbered letters: transitions in one open-addressed table."""
+    """The suffix automaton of a text of numbered letters.
 
-    def __init__(self, text: list[int], letters: int):
-        self.size, self.letters = len(text), letters
+    Transitions are a table of states by the text's own letters where that is
+    small, else one open-addressed table.
+    """
+
+    def __init__(self, numbers: np.ndarray, letters: int, room: int):
+        own = np.unique(numbers)
+        #: The text's own numbers of letters, 0 for those that it hasn't.
+        self.own = np.zeros(letters, dtype=np.int64)
+        self.own[own] = np.arange(1, len(own) + 1)
+        text, self.size, self.letters = self.own[numbers].tolist(), len(numbers), len(own) + 1
         moves: list[dict[int, int]] = [{}, {}]
         link, length = [0, 0], [0, 0]
         last = 1
@@ -85,13 +96,20 @@ class Automaton:
                         moves[p][c] = copy
                         p = link[p]
             last = new
-        self.first = np.zeros(letters, dtype=np.int64)
+        #: Where a phrase that begins with a letter stands after it: the start again if the letter is unknown.
+        self.first = np.ones(self.letters, dtype=np.int64)
         for c, to in moves[1].items():
             self.first[c] = to
         n = sum(map(len, moves))
+        letters = self.letters
         keys = np.fromiter((state * letters + c for state, out in enumerate(moves) for c in out), dtype=np.int64, count=n)
         to = np.fromiter((x for out in moves for x in out.values()), dtype=np.int64, count=n)
-        bits = max(4, (5 * n // 2).bit_length())
+        self.dense = None
+        if len(moves) * letters <= room:
+            self.dense = np.zeros(len(moves) * letters, dtype=np.int32)
+            self.dense[keys] = to
+            return
+        bits = max(4, (3 * n).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
         self.slots = np.full(1 << bits, -1, dtype=np.int64)
         packed, at = keys << _STATE_BITS | to, self._place(keys)
@@ -104,60 +122,29 @@ class Automaton:
     def _place(self, keys: np.ndarray) -> np.ndarray:
         return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
 
-    def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
-        """The states that letters lead to, 0 for none; the start is state 1, and 0 no letter of the text."""
-        key = state * self.letters + letter
+    def step(self, state: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states that letters lead to, and where there is none; the start is state 1, and 0 no letter of the text."""
+        key = state * self.letters
+        key += letter
+        if self.dense is not None:
+            to = self.dense[key].astype(np.int64)
+            return to, np.flatnonzero(to == 0)
         at = self._place(key)
-        got = self.slots[at]
-        met = got >> _STATE_BITS
-        to = np.where(met == key, got & ((1 << _STATE_BITS) - 1), 0)
-        more = np.flatnonzero((met != key) & (got >= 0))
-        while len(more):
-            at[more] = (at[more] + 1) & self.mask
-            got = self.slots[at[more]]
-            met = got >> _STATE_BITS
-            hit = met == key[more]
-            to[more[hit]] = got[hit] & ((1 << _STATE_BITS) - 1)
-            more = more[~hit & (got >= 0)]
-        return to
-
-    def parse(self, letters: np.ndarray, start: np.ndarray, stop: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases that begin between ``start`` and ``stop``, by lane, and where the last of them ends.
-
-        Each lane cuts off the longest piece that the automaton knows, again and
-        again; ``last`` is the end of its text.  A letter that isn't known is a
-        phrase of its own.
-        """
-        count, leave = np.zeros(len(start), dtype=np.int64), start.copy()
-        lane = np.flatnonzero(start < np.minimum(stop, last))
-        at, stop, last = start[lane], stop[lane], last[lane]
-        state, phrases = np.ones(len(lane), dtype=np.int64), np.zeros(len(lane), dtype=np.int64)
-        while len(lane):
-            letter = letters[at]
-            to = self.step(state, letter)
-            broken = np.flatnonzero(to == 0)
-            done = None
-            if len(broken):
-                phrases[broken] += state[broken] != 1
-                first = self.first[letter[broken]]
-                ends = at[broken] >= stop[broken]
-                done = broken[ends]
-                phrases[broken] += (first == 0) & ~ends
-                to[broken] = np.where(first == 0, 1, first)
-                at[done] -= 1  # these end before this letter
-                to[done] = 1
-            state = to
-            at += 1
-            over = np.flatnonzero(at >= stop)
-            if len(over):
-                ended = over[(state[over] == 1) | (at[over] >= last[over])]
-                if len(ended):
-                    phrases[ended] += state[ended] != 1
-                    count[lane[ended]], leave[lane[ended]] = phrases[ended], at[ended]
-                    stay = np.ones(len(lane), dtype=bool)
-                    stay[ended] = False
-                    lane, at, stop, last, state, phrases = (x[stay] for x in (lane, at, stop, last, state, phrases))
-        return count, leave
+        key <<= _STATE_BITS
+        to = self.slots[at]
+        to ^= key  # the state alone where the slot is the key's
+        stop = np.flatnonzero(to >> _STATE_BITS)
+        more = stop[self.slots[at[stop]] >= 0]  # those whose slot another key holds look further
+        if len(more):
+            while len(more):
+                at[more] = (at[more] + 1) & self.mask
+                got = self.slots[at[more]]
+                found = got ^ key[more]
+                hit = found >> _STATE_BITS == 0
+                to[more[hit]] = found[hit]
+                more = more[~hit & (got >= 0)]
+            stop = stop[to[stop] >> _STATE_BITS != 0]
+        return to, stop
 
 
 class CrossParser:
@@ -167,7 +154,7 @@ class CrossParser:
         self.languages = sorted(references)
         texts = [normalise(references[x]) for x in self.languages]
         self.alphabet = np.unique(np.concatenate(texts)) if texts else np.array([32], dtype=np.uint32)
-        self.automata = [Automaton(self._letters(t).tolist(), len(self.alphabet) + 1) for t in texts]
+        self.automata = [Automaton(self._letters(t), len(self.alphabet) + 1, DENSE // len(texts)) for t in texts]
         #: Bits that name a place in the reference: what a phrase costs.
         self.bits = np.array([np.log2(a.size + 1) for a in self.automata])
 
@@ -180,9 +167,11 @@ class CrossParser:
         """Phrases that each text (as of :func:`normalise`) falls into, by language.
 
         A text is cut from the left into the longest pieces that occur in the
-        reference.  Stretches of all texts advance side by side: each is parsed
-        from its beginning first, then again from where the stretch before it
-        ended, until none of these places changes; that is the parse of the whole.
+        reference; a letter that doesn't occur there is a phrase of its own.
+        Stretches of all texts advance side by side, each from its beginning.
+        Then each is parsed again from the state that the one before it ended
+        in, until the two parses have a phrase begin at the same place, from
+        which on they are one; that is the parse of the whole text.
         """
         out = np.zeros((len(texts), len(self.languages)), dtype=np.int64)
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
@@ -193,20 +182,70 @@ class CrossParser:
         pieces = -(-sizes // STRETCH)
         owner = np.repeat(np.arange(len(texts)), pieces)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin = begins[owner] + nth * STRETCH
-        last = (begins + sizes)[owner]
-        stop = np.minimum(begin + STRETCH, last)
-        follows = np.flatnonzero(nth > 0)
+        lanes = _Lanes(letters, begins[owner] + nth * STRETCH, (begins + sizes)[owner], nth > 0)
         for i, automaton in enumerate(self.automata):
-            entry = begin.copy()
-            count, leave = automaton.parse(letters, entry, stop, last)
-            while len(moved := follows[entry[follows] != leave[follows - 1]]):
-                entry[moved] = leave[moved - 1]
-                count[moved], leave[moved] = automaton.parse(letters, entry[moved], stop[moved], last[moved])
-            np.add.at(out[:, i], owner, count)
+            np.add.at(out[:, i], owner, lanes.parse(automaton))
         return out
 
 
+class _Lanes:
+    """Stretches of texts, side by side: a column each, a row for each letter, the longest first."""
+
+    def __init__(self, letters: np.ndarray, begin: np.ndarray, last: np.ndarray, follows: np.ndarray):
+        length = np.minimum(begin + STRETCH, last) - begin
+        order = np.argsort(-length, kind="stable")
+        self.place = np.empty(len(order), dtype=np.int64)
+        self.place[order] = np.arange(len(order))
+        self.length = length[order]
+        rows = np.arange(self.length[0])
+        self.active = np.searchsorted(-self.length, -rows, side="left")
+        self.grid = letters[np.minimum(begin[order] + rows[:, None], len(letters) - 1)]
+        #: Columns that go on with a text, and of each the column before.
+        after = np.flatnonzero(follows)
+        self.after, self.before = self.place[after], self.place[after - 1]
+
+    def parse(self, automaton: Automaton) -> np.ndarray:
+        """Phrases that begin in each stretch."""
+        starts = np.zeros(self.grid.shape, dtype=bool)
+        state = np.ones(self.grid.shape[1], dtype=np.int64)
+        grid = automaton.own[self.grid]
+        fresh = np.arange(len(state))  # those at the start state
+        for i, n in enumerate(self.active):
+            letter = grid[i, :n]
+            to, broken = automaton.step(state[:n], letter)
+            starts[i, fresh[fresh < n]] = True
+            starts[i, broken] = True
+            to[broken] = first = automaton.first[letter[broken]]
+            state[:n] = to
+            fresh = broken[first == 1]
+        begun = np.ones(len(state), dtype=np.int64)
+        while True:
+            given = state[self.before]
+            moved = np.flatnonzero(begun[self.after] != given)
+            if not len(moved):
+                return starts.sum(axis=0)[self.place]
+            begun[self.after[moved]] = given[moved]
+            self._again(automaton, self.after[moved], given[moved], state, starts, grid)
+
+    def _again(self, automaton: Automaton, column: np.ndarray, state: np.ndarray, ends: np.ndarray, starts: np.ndarray, grid: np.ndarray) -> None:
+        """Parse these stretches from a state under way, up to where a phrase begins that began there before."""
+        row = 0
+        while len(column):
+            letter = grid[row, column]
+            to, broken = automaton.step(state, letter)
+            begun = state == 1
+            begun[broken] = True
+            to[broken] = automaton.first[letter[broken]]
+            going = ~(begun & starts[row, column])
+            starts[row, column] = begun
+            column, state = column[going], to[going]
+            row += 1
+            over = self.length[column] == row
+            if over.any():
+                ends[column[over]] = state[over]
+                column, state = column[~over], state[~over]
+
+
 @functools.lru_cache(maxsize=1)
 def _parser(references: tuple[tuple[str, str], ...]) -> CrossParser:
     return CrossParser(dict(references))

@@ -65,9 +65,10 @@ def naive_phrases(text, reference):
     return count
 
 
-@pytest.mark.parametrize("stretch", [7, 64, 4096])
-def test_phrases_equal_brute_force(monkeypatch, stretch):
+@pytest.mark.parametrize("stretch, dense", [(7, 10**6), (7, 0), (64, 0), (4096, 10**6)])
+def test_phrases_equal_brute_force(monkeypatch, stretch, dense):
     monkeypatch.setattr(langid, "STRETCH", stretch)
+    monkeypatch.setattr(langid, "DENSE", dense)
     r = random.Random(1)
     refs = {"x": "".join(r.choice("ab c") for _ in range(400)), "y": "".join(r.choice("bcd ") for _ in range(300))}
     parser = langid.CrossParser(refs)
@@ -85,7 +86,7 @@ def test_automata_of_large_alphabets_are_small():
     r = random.Random(6)
     texts = {k: "".join(chr(r.randint(0x4E00, 0x64AB)) for _ in range(60_000)) for k in ("ja", "zh")}
     parser = langid.CrossParser(texts)
-    assert sum(a.slots.nbytes + a.first.nbytes for a in parser.automata) < 30_000_000
+    assert all(a.dense is None for a in parser.automata) and sum(a.slots.nbytes + a.first.nbytes for a in parser.automata) < 30_000_000
     pieces = [langid.normalise(texts["zh"][i : i + 50]) for i in range(0, 5000, 50)]
     counts = parser.phrases(pieces)
     assert (counts[:, 1] <= 3).all() and (counts[:, 0] > 20).all()
