@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from skein.llm import exact_dedup, mixing
+from skein.llm import common, exact_dedup, mixing
 from skein.llm.queries import ORACLES, QUERIES
 
 from .. import oracle
@@ -116,3 +116,42 @@ def test_words(spark):
     texts = ["", " ", "a", " a\tb\x0bc\r\nd ", " x y", "  "]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(mixing.word_count(mixing.F.col("t"))).collect()
     assert [r[0] for r in got] == [len(re.findall("[^\x20\t-\r]+", t)) for t in texts]
+
+
+def test_copies_add_up_to_the_target(spark):
+    rows = [(i, "one two three four", "s") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in (1, 2, 3):
+        assert mixing.mix(df, share=1 / 3, seed=seed).agg({"copies": "sum"}).first()[0] == 100
+
+
+def test_a_folder_that_all_share(spark):
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session)
+    assert common.shared_dir(spark)
+
+
+def test_runs_delete_their_own_tables_only(spark):
+    import os
+
+    def files(path):
+        return os.path.isdir(path.removeprefix("file:"))
+
+    with common.run_tables() as outer:
+        one = common.materialise(spark.range(3), "one")
+        with common.run_tables() as inner:
+            common.materialise(spark.range(4), "two")
+            common.materialise(spark.range(5), "three")
+            gone = inner[0]
+            common.release(spark, inner, keep=1)
+        assert len(inner) == 1 and len(outer) == 3 and not files(gone) and files(inner[0]) and one.count() == 3
+        common.release(spark, outer)
+    assert not files(inner[0])
