@@ -54,6 +54,14 @@ JS_GLOBALS = (
 )
 JS_METHODS = ("bind", "call", "apply", "toString", "valueOf")
 
+# --- names of parameters ------------------------------------------------------------
+
+#: Parts of names that stand for anything, such names of one letter, and names that tell little by themselves.
+TEMPORARY = ("temp", "tmp", "val", "test", "dummy", "placeholder")
+LETTERS = ("x", "y", "z", "i", "j", "k", "n", "a", "b", "c", "d", "e")
+COMMON = ("id", "key", "name", "title", "value", "data", "item", "type")
+CONFIDENCE = ("low", "medium", "high")
+
 # --- HTML ---------------------------------------------------------------------------
 
 #: Tags and their attributes that hold addresses, in the order in which they are read.

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .functions import fixed
-from .operators import html, modes
+from .operators import aliases, html, modes
 from .operators.urls import extract_urls, url_entries
 from .sources.files import spread
 
@@ -513,6 +513,30 @@ _read(
 )
 
 
+_ALIASES = "lower(split_part(p_type, ' ', 1)) || ['Id', '', 'Key', 'Name', 'Tmp'][p_size % 5 + 1]", "['x', 'id', 'title', 'orderBy'][p_size % 4 + 1]"
+
+
+@_query(
+    "best_alias",
+    "WITH f AS (SELECT p_brand AS name, p_partkey AS ord, ['low', 'medium', 'high'][p_size % 3 + 1] AS confidence, "
+    + f"CASE WHEN p_size % 2 = 0 THEN {_ALIASES[0]} ELSE {_ALIASES[1]} END AS alias FROM part),"
+    " u AS (SELECT name, alias, min(ord) AS ord, CASE WHEN bool_or(confidence = 'high') THEN 'high' ELSE arg_min(confidence, ord) END AS confidence FROM f GROUP BY 1, 2),"
+    f" t AS (SELECT *, CASE WHEN lower(alias) IN {fixed.LETTERS} OR regexp_matches(lower(alias), '{'|'.join(fixed.TEMPORARY)}') THEN 3 WHEN lower(alias) IN {fixed.COMMON} THEN 2"
+    f" WHEN regexp_matches(lower(alias), '{'|'.join(fixed.COMMON)}') AND len(alias) > 4 THEN 0 ELSE 1 END AS tier FROM u)"
+    " SELECT name, alias AS best FROM t QUALIFY row_number() OVER (PARTITION BY name ORDER BY tier, list_position(['high', 'medium', 'low'], confidence), len(alias), ord) = 1",
+)
+def best_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most telling of the names that each brand goes by."""
+    size = F.col("p_size")
+    word = F.concat(F.lower(F.split_part(F.col("p_type"), F.lit(" "), F.lit(1))), F.element_at(F.array(*map(F.lit, ("Id", "", "Key", "Name", "Tmp"))), (size % 5 + 1).cast("int")))
+    other = F.element_at(F.array(*map(F.lit, ("x", "id", "title", "orderBy"))), (size % 4 + 1).cast("int"))
+    sure = F.element_at(F.array(*map(F.lit, fixed.CONFIDENCE)), (size % 3 + 1).cast("int"))
+    found = _table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("name"), F.when(size % 2 == 0, word).otherwise(other).alias("alias"), sure.alias("confidence"), F.col("p_partkey").alias("ord")
+    )
+    return aliases.best_aliases(aliases.alias_table(found))
+
+
 @_query("node_type_catalogue", "SELECT ord, type FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(fixed.NODE_TYPES)) + ") v(ord, type)")
 def node_type_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modes.node_types(spark)
