@@ -21,9 +21,9 @@ REFERENCE_CHARS, ALL_CHARS, MAX_LANGUAGES = 60_000, 1_200_000, 256
 #: A reference document may be up to this share of its language's reference text.
 DOC_SHARE = 0.25
 #: Long texts are worked off in stretches of this many letters side by side; results don't depend on it.
-STRETCH = 1024
+STRETCH = 512
 #: Characters of texts that are worked off at a time.
-PORTION = 2_000_000
+PORTION = 1_000_000
 UNDETERMINED = "und"
 
 _CLASSES: np.ndarray | None = None
@@ -67,7 +67,7 @@ class Automaton:
     def __init__(self, numbers: np.ndarray, letters: int, room: int):
         own = np.unique(numbers)
         #: The text's own numbers of letters, 0 for those that it hasn't.
-        self.own = np.zeros(letters, dtype=np.int64)
+        self.own = np.zeros(letters, dtype=np.int32)
         self.own[own] = np.arange(1, len(own) + 1)
         text, self.size, self.letters = self.own[numbers].tolist(), len(numbers), len(own) + 1
         moves: list[dict[int, int]] = [{}, {}]
@@ -161,7 +161,7 @@ class CrossParser:
     def _letters(self, points: np.ndarray) -> np.ndarray:
         """Numbers of letters from 1, and 0 for those that no reference has."""
         at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
-        return np.where(self.alphabet[at] == points, at + 1, 0)
+        return np.where(self.alphabet[at] == points, at + 1, 0).astype(np.int32)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases that each text (as of :func:`normalise`) falls into, by language.
@@ -177,7 +177,7 @@ class CrossParser:
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         if not sizes.sum() or not self.languages:
             return out
-        letters = self._letters(np.concatenate(texts)).astype(np.int64)
+        letters = self._letters(np.concatenate(texts))
         begins = np.cumsum(sizes) - sizes
         pieces = -(-sizes // STRETCH)
         owner = np.repeat(np.arange(len(texts)), pieces)
