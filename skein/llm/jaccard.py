@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, parts, release, row_of, run_tables, text_of
+from .common import materialise, parts, release, row_of, run_tables, text_of, worker_keeps
 
 #: Words of an n-gram, least similarity, and the share of pairs at that similarity to be met in some band.
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99999
@@ -103,6 +103,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
     """Per row: ``doc_id, text_key, set_key, n_grams, bands, sketch``; texts themselves are left behind."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_keeps("shingles")
         shingler, sign = Shingler(words), _signer(bands, rows)
         for pdf in batches:
             out = []
@@ -376,6 +377,7 @@ def _verify(base: DataFrame, sets: DataFrame, groups: DataFrame, words: int, sim
     texts = texts.select("sid", "comp", "side", "tiled", "copies", "text")
 
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_keeps("shingles")
         shingler = Shingler(words)
         for pdf in batches:
             yield pdf.drop(columns="text").assign(grams=[shingler.grams(t).tobytes() for t in pdf["text"]])

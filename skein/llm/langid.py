@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -11,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_of, text_of
+from .common import row_of, text_of, worker_keeps
 
 #: The bounds of the sample that is fitted: characters of reference text that a language gets at
 #: most, and that all get together (with many languages each gets an equal part), and languages:
@@ -246,7 +245,6 @@ class _Lanes:
                 column, state = column[~over], state[~over]
 
 
-@functools.lru_cache(maxsize=1)
 def _parser(references: tuple[tuple[str, str], ...]) -> CrossParser:
     return CrossParser(dict(references))
 
@@ -319,7 +317,7 @@ def identify(docs: DataFrame, references: dict[str, str], text: str = "text") ->
 
     @F.pandas_udf("lang_pred string, score double, n_letters long, n_phrases long")
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        parser = _parser(sent.value)
+        parser = worker_keeps("languages", sent.value, _parser)
         for series in batches:
             texts, pieces, start = series.tolist(), [], 0
             while start < len(texts):
